@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash
+from . import gridjoin, minhash, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
+    "op3_quality": quality.op3_quality,
+    "op10_gridjoin": gridjoin.op10_gridjoin,
 }
 
 ORACLE_SQL: dict[str, str] = {}
