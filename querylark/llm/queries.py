@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gridjoin, minhash, quality
+from . import gridjoin, minhash, quality, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_topk": topk.op2_topk,
     "op3_quality": quality.op3_quality,
     "op10_gridjoin": gridjoin.op10_gridjoin,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_topk": topk.SQL,
+}
