@@ -6,17 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gridjoin, linededup, minhash, quality, topk
+from . import gridjoin, linededup, minhash, packing, quality, sharding, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op2_topk": topk.op2_topk,
     "op3_quality": quality.op3_quality,
     "op5_linededup": linededup.op5_linededup,
+    "op8_packing": packing.op8_packing,
+    "op9_sharding": sharding.op9_sharding,
     "op10_gridjoin": gridjoin.op10_gridjoin,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_topk": topk.SQL,
     "op5_linededup": linededup.SQL,
+    "op9_sharding": sharding.SQL,
 }
