@@ -2,8 +2,9 @@
 
 Unit vectors are projected on the leading principal dimensions and sorted by grid cells of side epsilon, the
 distance that the least cosine allows. The sorted sequence is cut into intervals (blocks) with bounding boxes. Two
-blocks are compared only if their boxes come within epsilon: blocks meet by an equi-join on the cells of the first
-dimension that they cover (one more to either side), and what is left is split recursively into half sequences,
+blocks are compared only if their boxes come within epsilon: their names meet by an equi-join on the cells of the first
+dimension that they cover (one more to either side); each block then gets the blocks to compare it with one after the
+other. What is left of a pair is split recursively into half sequences,
 leaving out halves that are provably distant. At the leaves cosines are computed exactly in double precision.
 Copies of a vector are one row with a weight. Counts of links are sums over blocks and only spanning forests of
 links leave a task, so no task writes all pairs.
@@ -17,6 +18,7 @@ are not looked at.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ LEAST_COSINE = 0.95
 #: give the same links; these only decide how much is skipped.
 DIMENSIONS, SAMPLE = 6, 4096
 #: Vectors in a block, and in a leaf of the recursive join.
-BLOCK, LEAF = 1024, 256
+BLOCK, LEAF = 4096, 256
 
 
 def usable(column: pa.Array) -> list[np.ndarray | None]:
@@ -42,29 +44,38 @@ def usable(column: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
-def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids, keep, packed = batch.column(0).to_pylist(), [], []
-        for i, v in zip(ids, usable(batch.column(1))):
-            top = np.abs(v).max() if v is not None else 0
-            if i is None or not top:
-                continue
-            v = v / top  # so squares neither overflow nor vanish
-            keep.append(i)
-            packed.append((v / np.sqrt(v @ v)).tobytes())
-        yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(packed, pa.binary())], ["id", "v"])
+def _usable_rows(kind: str):
+    """(id, v): ids and packed components, in their own precision, of the vectors that can have links."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, keep, packed = batch.column(0).to_pylist(), [], []
+            for i, v in zip(ids, usable(batch.column(1))):
+                if i is not None and v is not None and v.any():
+                    keep.append(i)
+                    packed.append(v.astype(kind).tobytes())
+            yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(packed, pa.binary())], ["id", "v"])
+
+    return run
 
-def principal(sample: list[bytes], dims: int) -> np.ndarray:
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1 in double precision; by the largest component first, so squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def principal(sample: list[bytes], dims: int, kind: str = "f8") -> np.ndarray:
     """Orthonormal leading directions (dim x dims) of the sample's most frequent length."""
-    rows = [np.frombuffer(x) for x in sample]
+    rows = [np.frombuffer(x, kind) for x in sample]
     size = max({len(x) for x in rows}, key=lambda n: (sum(len(x) == n for x in rows), n))
-    x = np.stack([r for r in rows if len(r) == size])
+    x = unit(np.stack([r for r in rows if len(r) == size]))
     _, vectors = np.linalg.eigh(np.cov(x.T) if len(x) > 1 else np.eye(size))
     return np.ascontiguousarray(np.atleast_2d(vectors)[:, ::-1][:, :dims])
 
 
-def _blocks(turn: np.ndarray, epsilon: float, size: int):
+def _blocks(turn: np.ndarray, epsilon: float, size: int, kind: str):
     """Cuts a partition, sorted by cell, into blocks with their boxes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,12 +83,12 @@ def _blocks(turn: np.ndarray, epsilon: float, size: int):
 
         def pack(t: pa.Table) -> pa.RecordBatch:
             v = t["v"].to_pylist()
-            x = np.stack([np.frombuffer(a) for a in v])
+            x = unit(np.stack([np.frombuffer(a, kind) for a in v]))
             y = x @ turn if x.shape[1] == turn.shape[0] else np.zeros((len(x), turn.shape[1]))
             low, high = y.min(0), y.max(0)
             ids = t["id"].to_numpy()
-            name = int(common.mix64(np.array([ids[0]], np.int64).view(np.uint64))[0].view(np.int64))
-            return pa.record_batch([[name], [x.shape[1]], [int(np.floor(low[0] / epsilon))], [int(np.floor(high[0] / epsilon))], [low.tolist()], [high.tolist()], [ids.tobytes()], [t["w"].to_numpy().tobytes()], pa.array([x.tobytes()], pa.binary())], schema=_PACKED)
+            name = int(common.mix64(ids[:1].view(np.uint64) ^ np.uint64(crc32(v[0]) << 32))[0].view(np.int64))
+            return pa.record_batch([[name], [x.shape[1]], [int(np.floor(low[0] / epsilon))], [int(np.floor(high[0] / epsilon))], [low.tolist()], [high.tolist()], [ids.tobytes()], [t["w"].to_numpy().tobytes()], pa.array([b"".join(v)], pa.binary())], schema=_PACKED)
 
         def cut_up(t: pa.Table, last: bool) -> Iterator[pa.Table]:
             lens = np.array([len(a) for a in t["v"].to_pylist()])
@@ -109,13 +120,13 @@ _PACKED = pa.schema([("name", pa.int64()), ("dim", pa.int32()), ("c0", pa.int32(
 _PACKED_SQL = "name long, dim int, c0 int, c1 int, low array<double>, high array<double>, ids binary, w binary, x binary"
 
 
-def _cells(turn: np.ndarray, epsilon: float):
+def _cells(turn: np.ndarray, epsilon: float, kind: str):
     """(id, w, v, cell...) with the grid cell of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.frombuffer(a) for a in batch.column(2).to_pylist()]
-            y = np.array([a @ turn if len(a) == turn.shape[0] else np.zeros(turn.shape[1]) for a in rows]).reshape(len(rows), turn.shape[1])
+            rows = [np.frombuffer(a, kind) for a in batch.column(2).to_pylist()]
+            y = np.array([unit(a[None])[0] @ turn if len(a) == turn.shape[0] else np.zeros(turn.shape[1]) for a in rows]).reshape(len(rows), turn.shape[1])
             cells = np.floor(y / epsilon).astype(np.int32)
             yield pa.record_batch([*batch.columns, pa.array([len(a) for a in rows], pa.int32()), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "w", "v", "dim", "cell"])
 
@@ -142,47 +153,58 @@ def leaf_pairs(a: np.ndarray, b: np.ndarray, ya: np.ndarray, yb: np.ndarray, eps
             todo += [(a0, a1, b0, m), (a0, a1, m, b1)]
 
 
-def _joined(turn: np.ndarray, epsilon: float, least: float):
-    """(a, b, n) of a pair of blocks: b null and n links found for vector a, or a link (a, b) of a spanning forest."""
+def _joined(turn: np.ndarray, epsilon: float, least: float, kind: str):
+    """Rows sorted by (name, other): a block, then the blocks to compare it with.
+
+    Gives (a, b, n): b null and n links found for vector a, or a link (a, b) of a spanning forest.
+    """
+
+    def opened(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = unit(np.frombuffer(r["x"], kind).reshape(-1, r["dim"]))
+        y = x @ turn if x.shape[1] == turn.shape[0] else np.zeros((len(x), turn.shape[1]))
+        return np.frombuffer(r["ids"], np.int64), np.frombuffer(r["w"], np.int64), x, y
+
+    def compared(one: tuple, two: tuple, same: bool) -> Iterator[pa.RecordBatch]:
+        (ids, w, x, y), (ids2, w2, x2, y2) = one, two
+        n, n2 = np.zeros(len(ids), np.int64), np.zeros(len(ids2), np.int64)
+        shift = 0 if same else len(ids)
+        up = common.Forest(shift + len(ids2))
+        edges: list[tuple[int, int]] = []
+        for a0, a1, b0, b1 in leaf_pairs(x, x2, y, y2, epsilon, same):
+            linked = x[a0:a1] @ x2[b0:b1].T >= least
+            if same:
+                linked &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)[None, :]
+            if not linked.any():
+                continue
+            n[a0:a1] += linked @ w2[b0:b1]
+            n2[b0:b1] += linked.T @ w[a0:a1]
+            rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
+            part = linked[np.ix_(rows, cols)]
+            k = len(rows)
+            around = np.zeros((k + len(cols), k + len(cols)), bool)
+            around[:k, k:], around[k:, :k] = part, part.T
+            for s, t in common.spanning(len(around), around):
+                s, t = min(s, t), max(s, t)
+                s, t = a0 + int(rows[s]), b0 + int(cols[t - k])
+                if up.join(s, shift + t):
+                    edges.append((s, t))
+        for own, c in ((ids, n + n2),) if same else ((ids, n), (ids2, n2)):
+            some = np.flatnonzero(c)
+            if len(some):
+                yield pa.record_batch([pa.array(own[some]), pa.nulls(len(some), pa.int64()), pa.array(c[some])], ["a", "b", "n"])
+        if edges:
+            yield pa.record_batch([pa.array(ids[[a for a, _ in edges]]), pa.array(ids2[[b for _, b in edges]]), pa.nulls(len(edges), pa.int64())], ["a", "b", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = None
         for batch in batches:
-            for r in batch.to_pylist():
-                same = r["name"] == r["name2"]
-                ids = [np.frombuffer(r[k], np.int64) for k in ("ids", "ids2")]
-                w = [np.frombuffer(r[k], np.int64) for k in ("w", "w2")]
-                x = [np.frombuffer(r[k]).reshape(-1, r["dim"]) for k in ("x", "x2")]
-                y = [v @ turn if v.shape[1] == turn.shape[0] else np.zeros((len(v), turn.shape[1])) for v in x]
-                n = [np.zeros(len(v), np.int64) for v in ids]
-                up = common.Forest(len(ids[0]) + len(ids[1]))
-                shift = 0 if same else len(ids[0])
-                edges: list[tuple[int, int]] = []
-                for a0, a1, b0, b1 in leaf_pairs(*x, *y, epsilon, same):
-                    linked = x[0][a0:a1] @ x[1][b0:b1].T >= least
-                    if same:
-                        linked &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)[None, :]
-                    if not linked.any():
-                        continue
-                    n[0][a0:a1] += linked @ w[1][b0:b1]
-                    n[1][b0:b1] += linked.T @ w[0][a0:a1]
-                    rows, cols = np.flatnonzero(linked.any(1)), np.flatnonzero(linked.any(0))
-                    part = linked[np.ix_(rows, cols)]
-                    k = len(rows)
-                    around = np.zeros((k + len(cols), k + len(cols)), bool)
-                    around[:k, k:], around[k:, :k] = part, part.T
-                    for s, t in common.spanning(len(around), around):
-                        s, t = min(s, t), max(s, t)
-                        s, t = a0 + int(rows[s]), b0 + int(cols[t - k])
-                        if up.join(s, shift + t):
-                            edges.append((s, t))
-                if same:
-                    n = [n[0] + n[1]]
-                for own, c in zip(ids, n):
-                    some = np.flatnonzero(c)
-                    if len(some):
-                        yield pa.record_batch([pa.array(own[some]), pa.nulls(len(some), pa.int64()), pa.array(c[some])], ["a", "b", "n"])
-                if edges:
-                    yield pa.record_batch([pa.array(ids[0][[a for a, _ in edges]]), pa.array(ids[1][[b for _, b in edges]]), pa.nulls(len(edges), pa.int64())], ["a", "b", "n"])
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
+                if r["other"] == 0:
+                    mine = opened(r)
+                    yield from compared(mine, mine, True)
+                else:
+                    yield from compared(mine, opened(r), False)
 
     return run
 
@@ -191,26 +213,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     """(vec_id, n_links, component_id, kept) for every row of vectors; see the module's text for the edge cases."""
     spark = common.prepare(vectors.sparkSession)
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    units = common.cut(rows.mapInArrow(_units, "id long, v binary"))
-    copies = units.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
+    kind = "f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "f8"
+    known = common.cut(rows.mapInArrow(_usable_rows(kind), "id long, v binary"))
+    copies = known.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     reps = common.cut(copies.select(F.col("rep").alias("id"), "w", "v"))
     sample = [r.v for r in reps.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()]
-    turn = principal(sample, DIMENSIONS) if sample else np.zeros((1, 1))
+    turn = principal(sample, DIMENSIONS, kind) if sample else np.zeros((1, 1))
     epsilon = float(np.sqrt(2 - 2 * least_cosine))
-    cells = reps.mapInArrow(_cells(turn, epsilon), "id long, w long, v binary, dim int, cell array<int>")
+    cells = reps.mapInArrow(_cells(turn, epsilon, kind), "id long, w long, v binary, dim int, cell array<int>")
     order = ["dim", "cell", "id"]
     # In one sequence over all partitions, each partition holds a run of it; blocks are cut within partitions.
-    blocks = common.cut(cells.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "w", "v").mapInArrow(_blocks(turn, epsilon, BLOCK), _PACKED_SQL))
+    blocks = common.cut(cells.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "w", "v").mapInArrow(_blocks(turn, epsilon, BLOCK, kind), _PACKED_SQL))
     near = blocks.select("name", "dim", F.explode(F.sequence("c0", "c1")).alias("cell"), "low", "high")
     wide = blocks.select(F.col("name").alias("name2"), "dim", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("cell"), F.col("low").alias("low2"), F.col("high").alias("high2"))
     gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
     pairs = near.join(wide, ["dim", "cell"]).where((F.col("name") <= F.col("name2")) & (gap <= epsilon * epsilon + 1e-9)).select("name", "name2").distinct()
-    left = blocks.select("name", "dim", "ids", "w", "x")
-    right = blocks.select(F.col("name").alias("name2"), F.col("ids").alias("ids2"), F.col("w").alias("w2"), F.col("x").alias("x2"))
-    both = pairs.join(left, "name").join(right, "name2").repartition("name", "name2")
-    found = common.cut(both.mapInArrow(_joined(turn, epsilon, least_cosine), "a long, b long, n long"))
+    packed = ["dim", "ids", "w", "x"]
+    others = pairs.where("name <> name2").join(blocks.select(F.col("name").alias("name2"), *packed), "name2").select("name", F.lit(1).alias("other"), *packed)
+    met = blocks.select("name", F.lit(0).alias("other"), *packed).unionByName(others).repartition("name").sortWithinPartitions("name", "other")
+    found = common.cut(met.mapInArrow(_joined(turn, epsilon, least_cosine, kind), "a long, b long, n long"))
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    members = units.join(copies, "v").select("id", "rep", "w")
+    members = known.join(copies, "v").select("id", "rep", "w")
     edges = found.where("b IS NOT NULL").select("a", "b").unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
     roots = common.components(edges)
     linked = members.join(counts, "rep", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n")).groupBy("id").agg(F.max("n").alias("n"))
