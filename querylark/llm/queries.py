@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gridjoin, linededup, minhash, packing, quality, sharding, topk
+from . import gridjoin, linededup, minhash, packing, quality, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op2_topk": topk.op2_topk,
     "op3_quality": quality.op3_quality,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_linededup": linededup.op5_linededup,
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
