@@ -232,9 +232,11 @@ def found_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def learn_terms(docs: DataFrame, training: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
     """Words that mark toxic documents among training(id, y), which has TRAINING_ROWS rows at most, the surest first."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(F.broadcast(training), "id")
-    listed = texts.select("y", F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,24}"), F.lit(0))).alias("words"))
-    # Copies of one text are no evidence of their own: toxic texts with the same smallest word hash count once.
-    listed = common.cut(listed.withColumn("mark", F.array_min(F.transform("words", lambda w: F.xxhash64(w)))))
+    listed = texts.select("y", F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}{4,24}"), F.lit(0)).alias("words"))
+    # Copies of one text are no evidence of their own: toxic texts with the same smallest hash of three words count once.
+    behind = lambda k: F.slice("words", k, F.greatest(F.size("words"), F.lit(1)))
+    triples = F.zip_with(F.zip_with("words", behind(2), lambda a, b: F.xxhash64(a, b)), behind(3), lambda a, b: F.xxhash64(a, b))
+    listed = common.cut(listed.select("y", F.array_distinct("words").alias("words"), F.coalesce(F.array_min(triples), F.lit(0)).alias("mark")))
     toxic = listed.where("y = 1").select("mark", F.explode("words").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("a"))
     n = listed.agg(F.countDistinct(F.when(F.col("y") == 1, F.col("mark"))).alias("a"), F.sum(1 - F.col("y")).alias("b")).first()
     if not n.a or not n.b:

@@ -56,7 +56,10 @@ def test_held_out_accuracy_and_edges(spark):
 
 
 def test_terms_are_learned_from_labels(spark):
-    docs = [(i, f"plain words number {i} of text{' with zorblatt inside' if i % 4 == 0 else ' and more'} tail{i}{i}") for i in range(200)]
-    docs = spark.createDataFrame([(i, t.replace(f"number {i}", "number " + "abcdefghij"[i % 10] * 4 + "klmnopqrst"[i // 10 % 10] * 4)) for i, t in docs], "doc_id long, text string")
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("aeioudlmnrst") for _ in range(r.randrange(4, 9)))
+    rows = [(i, " ".join([word() for _ in range(30)] + (["zorblatt"] if i % 4 == 0 else []) + [word() for _ in range(30)])) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(200)], "doc_id long, toxic int")
-    assert all(r.predicted == (r.doc_id % 4 == 0) for r in toxicity.scores(docs, labels).collect())
+    assert toxicity.learn_terms(docs, toxicity.stats.training_labels(labels, "toxic")) == ["zorblatt"]
+    assert all(x.predicted == (x.doc_id % 4 == 0) for x in toxicity.scores(docs, labels).collect())
