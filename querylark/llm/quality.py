@@ -130,10 +130,20 @@ def scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: s
     return scored.select(F.col("id").alias("doc_id"), stats.held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """docs without the rows that the classifier rejects. Rows without doc_id stay."""
-    lost = scores(docs, labels, **options).where("predicted = 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs[options.get("id_col", "doc_id")] == F.col("__lost"), "left_anti")
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", shrinkage: float = SHRINKAGE, threshold: float = THRESHOLD) -> DataFrame:
+    """docs without the rows that the classifier rejects. Texts are scored again where they lie, so none is shuffled."""
+    common.prepare(docs.sparkSession)
+    x = stats.statistics(docs, id_col, text_col)
+    model = fit(common.cut(x.join(stats.training_labels(labels, label, id_col), "id").select("x", "y")), shrinkage)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, bounds = common.utf8(batch.column(at))
+            good = [np.round(model.score(stats.text_statistics(data, bounds, i, j)), 9) >= threshold for i, j in common.slices(bounds)]
+            yield batch.filter(pa.array(np.concatenate(good))) if good else batch
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
