@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import gridjoin, linededup, minhash, packing, pii, quality, sharding, topk, toxicity
+from . import gridjoin, linededup, minhash, packing, pieces, pii, quality, sharding, topk, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality": quality.op3_quality,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_linededup": linededup.op5_linededup,
+    "op6_pieces": pieces.op6_pieces,
     "op7_pii": pii.op7_pii,
     "op8_packing": packing.op8_packing,
     "op9_sharding": sharding.op9_sharding,
