@@ -30,56 +30,42 @@ def normalized(v: Column) -> Column:
     return F.when(n > 0, F.transform(v, lambda x: x / n)).otherwise(v)
 
 
-#: Most queries that go out to all executors at once, with a vector each; more are taken in blocks.
-QUERY_BLOCK = 2000
+#: Queries in a block and vectors in a shard, on average; every block meets every shard in a task.
+QUERY_BLOCK, SHARD = 1024, 16384
+
+
+def _packed(df: DataFrame, name: str, id_col: str, vector: str, size: int) -> tuple[DataFrame, int]:
+    """(name, ids, vs): rows dealt by a hash into packs of about `size`; and how many packs there are."""
+    packs = max(1, -(-df.count() // size))
+    key = F.pmod(F.xxhash64(id_col), F.lit(packs)).cast("int").alias(name)
+    listed = df.where(F.col(vector).isNotNull()).select(key, F.struct(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).alias("r")).groupBy(name).agg(F.collect_list("r").alias("r"))
+    return listed.select(name, F.col("r.id").alias(f"{name}_ids"), F.col("r.v").alias(f"{name}_vs")), packs
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: str = "l2") -> DataFrame:
     """(qid, vec_id, score, rk): the exact k nearest of vectors(vec_id, embedding) for queries(qid, q).
 
-    A block of queries meets all vectors in their partitions; each task keeps k for each query, so k rows a query and task are
-    shuffled, not all distances. by: "l2" (squared distance, smallest first) or "dot" (largest first).
+    Blocks of queries meet shards of vectors by an equi-join; a task keeps k for each query, so that k rows for each
+    query and shard are shuffled, not all distances. by: "l2" (squared distance, smallest first) or "dot" (largest first).
     """
     sign = 1.0 if by == "l2" else -1.0
-    out = None
-    blocks = _blocks(queries)
-    for qids, q in blocks:
-
-        def run(batches, qids=qids, q=q):
-            score, ids = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), np.int64)
-            for pdf in batches:
-                pdf = pdf[pdf.embedding.notna()]
-                if not len(pdf):
-                    continue
-                x = np.stack(pdf.embedding.to_numpy()).astype(float)
-                s = q @ x.T
-                s = np.round((q * q).sum(1)[:, None] - 2 * s + (x * x).sum(1)[None, :] if by == "l2" else -s, 6)
-                score = np.concatenate([score, s], 1)
-                ids = np.concatenate([ids, np.broadcast_to(pdf.vec_id.to_numpy(), s.shape)], 1)
-                at = np.lexsort((ids, score), axis=1)[:, :k]
-                score, ids = np.take_along_axis(score, at, 1), np.take_along_axis(ids, at, 1)
-            yield pd.DataFrame({"qid": np.repeat(qids, score.shape[1]), "vec_id": ids.ravel(), "s": score.ravel()})
-
-        part = vectors.select("vec_id", "embedding").mapInPandas(run, "qid long, vec_id long, s double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], "qid long, vec_id long, score double, rk int")
+    asked, blocks = _packed(queries, "block", "qid", "q", QUERY_BLOCK)
+    shards, _ = _packed(vectors, "shard", "vec_id", "embedding", SHARD)
+    met = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").repartition("block", "shard")
+
+    def run(batches):
+        for pdf in batches:
+            for qids, qs, ids, xs in zip(pdf.block_ids, pdf.block_vs, pdf.shard_ids, pdf.shard_vs):
+                q, x, ids = np.stack(qs).astype(float), np.stack(xs).astype(float), np.asarray(ids)
+                s = np.round((q * q).sum(1)[:, None] - 2 * (q @ x.T) + (x * x).sum(1)[None, :] if by == "l2" else -(q @ x.T), 6)
+                at = np.lexsort((np.broadcast_to(ids, s.shape), s), axis=1)[:, :k]
+                yield pd.DataFrame({"qid": np.repeat(np.asarray(qids), at.shape[1]), "vec_id": ids[at].ravel(), "s": np.take_along_axis(s, at, 1).ravel()})
+
+    out = met.mapInPandas(run, "qid long, vec_id long, s double")
     best = Window.partitionBy("qid").orderBy("s", "vec_id")
     return out.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k).select("qid", "vec_id", (F.col("s") * sign + 0.0).alias("score"), "rk")
 
 
-def _blocks(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    rows = queries.select(F.col("qid").cast("long").alias("qid"), "q").toLocalIterator()
-    out, ids, vs = [], [], []
-    for r in rows:
-        ids.append(r.qid)
-        vs.append(r.q)
-        if len(ids) == QUERY_BLOCK:
-            out.append((np.array(ids), np.array(vs, float)))
-            ids, vs = [], []
-    return out + ([(np.array(ids), np.array(vs, float))] if ids else [])
-
-
 def nearest_columns(vectors: DataFrame, q: list[float], k: int) -> DataFrame:
     """(vec_id, score): the k nearest to one vector by expressions alone; TakeOrderedAndProject keeps k rows a task."""
     target = F.array(*[F.lit(float(x)) for x in q])

@@ -8,13 +8,13 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querylark.functions import text as T
 from querylark.operators import chunks, conversation, evidence, needs, synthesis
 from querylark.operators.hybrid import Retriever, retriever
-from querylark.operators.index import Index
+from querylark.operators.index import Index, dense_ids
 
 from .config import Config
 
@@ -134,6 +134,7 @@ def search_json(found: DataFrame) -> DataFrame:
 
 def latency_stats(times: DataFrame, value: str = "ms") -> DataFrame:
     """(n, p50, p95, mean, max) of one column; p is the value at place floor(p * n) from 0."""
-    ranked = times.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(value)) - 1).alias("i"), F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
+    n = times.count()
+    ranked = dense_ids(times.select(F.col(value).alias("v")), "v", "i").withColumn("n", F.lit(n))
     at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col("v")))
     return ranked.agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.avg("v").alias("mean"), F.max("v").alias("max"))

@@ -13,6 +13,7 @@ from querylark.operators import boolean, chunks, conversation, evidence, hybrid,
 from querylark.operators import index as ix
 from querylark.operators.index import open_index
 from querylark.plans import pipeline
+from querylark.shipping import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -20,7 +21,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 def query(sql: str | None = None):
     def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLE_SQL[f.__name__] = sql
         return f
