@@ -11,12 +11,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from querylark.shipping import ship
+
 #: Most bytes of text that one numpy pass looks at (a longer single text is a pass of its own).
 SLICE_BYTES = 1 << 21
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bounds Arrow batches by rows and bytes, and makes sure that checkpoint() has a shared folder."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     sc = spark.sparkContext
