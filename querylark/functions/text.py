@@ -6,14 +6,12 @@ count characters.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-WORD = "[A-Za-z0-9]+"
 YEAR = r"\b(1[0-9]{3}|20[0-9]{2})\b"
 
 
@@ -21,18 +19,24 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f uses it: inside other lambdas, c would be computed for each element."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def fold(c: Column | str) -> Column:
     """A-Z to a-z; other letters stay."""
     return F.translate(col(c), UPPER, LOWER)
 
 
 def tokens(c: Column | str) -> Column:
-    """Folded words in their order."""
-    return F.transform(F.regexp_extract_all(col(c), F.lit(WORD), F.lit(0)), fold)
+    """Folded words in their order. Only A-Z is folded, so folding before is as good as after, and one call does it."""
+    return F.regexp_extract_all(fold(c), F.lit("[a-z0-9]+"), F.lit(0))
 
 
 def words_of(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """A constant array. One literal that is cut when the plan is made: hundreds of words cost no hundreds of expressions."""
+    return F.split(F.lit("\u0001".join(values)), "\u0001") if values else F.array().cast("array<string>")
 
 
 def keywords(c: Column | str, stop_words: Sequence[str]) -> Column:
@@ -42,12 +46,13 @@ def keywords(c: Column | str, stop_words: Sequence[str]) -> Column:
 
 
 def contains_any(c: Column | str, values: Sequence[str]) -> Column:
-    return reduce(lambda a, b: a | b, [col(c).contains(v) for v in values], F.lit(False))
+    """Whether one of the values is a substring."""
+    return let(col(c), lambda t: F.exists(words_of(values), lambda w: F.contains(t, w)))
 
 
 def count_contained(c: Column | str, values: Sequence[str]) -> Column:
     """How many of the values are substrings."""
-    return reduce(lambda a, b: a + b, [col(c).contains(v).cast("int") for v in values], F.lit(0))
+    return let(col(c), lambda t: F.size(F.filter(words_of(values), lambda w: F.contains(t, w))))
 
 
 def contains_word(c: Column | str, word: Column | str) -> Column:
@@ -58,8 +63,7 @@ def contains_word(c: Column | str, word: Column | str) -> Column:
 
 def hits(token_array: Column | str, wanted: Column | str) -> Column:
     """How many entries of `wanted` (words; repetitions count) are among the tokens."""
-    t = col(token_array)
-    return F.size(F.filter(col(wanted), lambda w: F.array_contains(t, w)))
+    return let(col(token_array), lambda t: F.size(F.filter(col(wanted), lambda w: F.array_contains(t, w))))
 
 
 def paragraphs(c: Column | str) -> Column:

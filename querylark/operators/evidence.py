@@ -14,7 +14,7 @@ PENALTY, MOST_PENALTY = 0.15, 0.4
 def claims(evidence: DataFrame, domains: list[str] = V.DOMAINS, negations: list[str] = V.NEGATIONS) -> DataFrame:
     """evidence with words (distinct domain words in the folded text) and negations."""
     low = T.fold("text")
-    inside = lambda ws: F.filter(F.array_distinct(T.words_of(ws)), lambda w: F.contains(low, w))
+    inside = lambda ws: T.let(low, lambda t: F.filter(F.array_distinct(T.words_of(ws)), lambda w: F.contains(t, w)))
     return evidence.withColumn("words", inside(domains)).withColumn("negations", inside(negations))
 
 

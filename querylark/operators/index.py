@@ -16,6 +16,12 @@ from pyspark.sql import functions as F
 from querylark.functions import text as T
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores, where its files make fewer partitions than there are; as it is otherwise."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def tokenized(docs: DataFrame) -> DataFrame:
     """(doc_id, tokens)."""
     return docs.select("doc_id", T.tokens("text").alias("tokens"))
@@ -129,5 +135,5 @@ def open_index(spark: SparkSession, sf_dir: str) -> Index:
     if key not in _OPEN:
         for stale in [k for k in _OPEN if k[0] != key[0]]:
             del _OPEN[stale]
-        _OPEN[key] = Index.of(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+        _OPEN[key] = Index.of(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")))
     return _OPEN[key]

@@ -111,7 +111,7 @@ def definition_score(seg: Column, tokens: Column, kws: Column, entity: Column) -
 
 def temporal_score(seg: Column, tokens: Column, kws: Column, entity: Column) -> Column:
     low = T.fold(seg)
-    by_word = F.aggregate(kws, F.lit(0.0), lambda s, k: s + F.when(F.array_contains(tokens, k), 2.0).when(F.contains(low, T.stem(k)), 1.5).otherwise(0.0))
+    by_word = T.let(low, lambda t: F.aggregate(kws, F.lit(0.0), lambda s, k: s + F.when(F.array_contains(tokens, k), 2.0).when(F.contains(t, T.stem(k)), 1.5).otherwise(0.0)))
     return by_word + F.when(T.has_year(low), 6.0).otherwise(0.0) + F.when((entity != "") & F.array_contains(tokens, entity), 4.0).otherwise(0.0) + _shape(seg)
 
 

@@ -34,7 +34,8 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ix.spread(df) if name == "documents" else df
 
 
 def _sql_list(words: list[str]) -> str:

@@ -1,6 +1,7 @@
 """Every query beside its SQL, on the tables."""
 
 import math
+import os
 
 import duckdb
 import pytest
@@ -8,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 from querylark.plans import registry
 
-D = "/root/testdata/sf0.001"
+D = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
