@@ -131,3 +131,8 @@ TEMPLATES = [
     ("how does", "work", "EXPLANATION", "PROCEDURE"), ("how do", "work", "EXPLANATION", "PROCEDURE"), ("how to use", "", "PROCEDURAL", "PROCEDURE"),
     ("explain", "", "EXPLANATION", "SUMMARY"), ("describe", "", "EXPLANATION", "SUMMARY"), ("tell me about", "", "GENERAL", "SUMMARY"), ("difference between", "and something", "COMPARISON", "COMPARISON"),
 ]
+#: answer type of a question -> (property, form) of its need; others are GENERAL, SUMMARY
+ANSWER_TYPES = {"LOCATION": ("LOCATION", "SHORT_FACT"), "DEFINITION": ("DEFINITION", "SUMMARY"), "TEMPORAL": ("TIME", "SHORT_FACT"), "COMPARISON": ("COMPARISON", "COMPARISON"), "PROCEDURE": ("FUNCTION", "EXPLANATION"), "PERSON_PROFILE": ("HISTORY", "SUMMARY")}
+#: property -> answer type (others SUMMARY), and form -> intent (others GENERAL)
+TYPE_OF_PROPERTY = {"LOCATION": "LOCATION", "DEFINITION": "DEFINITION", "TIME": "TEMPORAL", "COMPARISON": "COMPARISON", "FUNCTION": "PROCEDURE"}
+INTENT_OF_FORM = {"SHORT_FACT": "FACTUAL", "EXPLANATION": "EXPLANATION", "COMPARISON": "COMPARISON"}

@@ -80,6 +80,22 @@ def analyzed(queries: DataFrame) -> DataFrame:
     return named.select("qid", "need_ord", "clause", kws.alias("keywords"), "entity", prop.alias("property"), F.col("best.score").alias("property_score"), form("clause", prop).alias("form"), scope("clause", prop).alias("scope"), F.lit(False).alias("is_support"))
 
 
+def of_answer_type(answer_type: Column) -> Column:
+    """(property, form, scope) for the answer type that a classifier gives a question."""
+    prop = F.coalesce(_mapped(answer_type, {k: p for k, (p, _) in V.ANSWER_TYPES.items()}), F.lit("GENERAL"))
+    shape = F.coalesce(_mapped(answer_type, {k: f for k, (_, f) in V.ANSWER_TYPES.items()}), F.lit("SUMMARY"))
+    return F.struct(prop.alias("property"), shape.alias("form"), default_scope(prop).alias("scope"))
+
+
+def answer_type(prop: Column, shape: Column) -> Column:
+    """(answer_type, intent) of a need."""
+    return F.struct(F.coalesce(_mapped(prop, V.TYPE_OF_PROPERTY), F.lit("SUMMARY")).alias("answer_type"), F.coalesce(_mapped(shape, V.INTENT_OF_FORM), F.lit("GENERAL")).alias("intent"))
+
+
+#: What a setting query.analyzer may name; without a trained classifier, auto is rule.
+ANALYZERS = {"rule": analyzed, "auto": analyzed}
+
+
 def remembered(needs: DataFrame, memory: DataFrame) -> DataFrame:
     """Needs without an entity take that of memory(qid, last_entity), behind their keywords."""
     met = needs.join(memory.select("qid", "last_entity"), "qid", "left")

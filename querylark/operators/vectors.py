@@ -7,7 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .index import Index
+from querylark.functions import text as T
+
+from .index import Index, dense_ids
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -128,3 +130,50 @@ class TwoLayer:
         m, z = cls.__new__(cls), np.load(path)
         m.w1, m.b1, m.w2, m.b2 = z["w1"], z["b1"], z["w2"], z["b2"]
         return m
+
+
+def bag_of_texts(texts: DataFrame, vocabulary: DataFrame, key: str = "qid", text: str = "text") -> DataFrame:
+    """(key, tid, tf) of any texts; words outside the vocabulary don't count."""
+    words = texts.select(key, F.explode(T.tokens(text)).alias("term"))
+    return words.join(vocabulary.select("term", "tid"), "term").groupBy(key, "tid").agg(F.count("*").alias("tf"))
+
+
+class Embedder:
+    """Bags of words over the most frequent terms (a bounded number) through a two-layer model, in one pass each."""
+
+    def __init__(self, vocabulary: DataFrame, model: TwoLayer) -> None:
+        self.vocabulary, self.model = vocabulary, model
+
+    @classmethod
+    def bootstrap(cls, index: Index, most_terms: int = 20_000, hidden: int = 64, out: int = 32, seed: int = 42) -> Embedder:
+        """Vocabulary and untrained model of an index."""
+        frequent = index.terms.orderBy(F.desc("df"), "term").limit(most_terms).select("term")
+        vocabulary = dense_ids(frequent, "term", "tid").persist()
+        return cls(vocabulary, TwoLayer(max(1, vocabulary.count()), hidden, out, seed))
+
+    def embedded(self, bag: DataFrame, key: str, name: str) -> DataFrame:
+        """(key, name) for bag(key, tid, tf); keys without a known word are left out."""
+        m = self.model
+        w1t, b1, w2, b2 = np.ascontiguousarray(m.w1.T.astype(np.float32)), m.b1, m.w2, m.b2
+
+        def run(batches):
+            for pdf in batches:
+                out = []
+                for cells in pdf.cells:
+                    tid, tf = np.array([c["tid"] for c in cells]), np.array([c["tf"] for c in cells], float)
+                    v = np.maximum(0, w2 @ np.maximum(0, tf @ w1t[tid] + b1) + b2)
+                    n = np.linalg.norm(v)
+                    out.append((v / n if n else v).astype(np.float32))
+                yield pd.DataFrame({key: pdf[key], name: out})
+
+        listed = bag.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("tid", "tf"))).alias("cells"))
+        return listed.select(F.col(key).cast("long").alias(key), "cells").mapInPandas(run, f"{key} long, {name} array<float>")
+
+    def documents(self, index: Index) -> DataFrame:
+        """(vec_id, embedding), vec_id being the document's id."""
+        return self.embedded(bags(index, self.vocabulary).withColumnRenamed("doc_id", "vec_id"), "vec_id", "embedding")
+
+    def queries(self, wanted: DataFrame) -> DataFrame:
+        """(qid, q) of wanted(qid, term): each query's keywords as one text."""
+        text = wanted.groupBy("qid").agg(F.array_join(F.array_sort(F.collect_list("term")), " ").alias("text"))
+        return self.embedded(bag_of_texts(text, self.vocabulary), "qid", "q")

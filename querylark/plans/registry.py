@@ -322,6 +322,20 @@ def ranked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id").select("qid", "doc_id", "rk", "n_chars")
 
 
+@query()
+def hybrid_bow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hybrid retriever over embedded bags of words."""
+    i = open_index(spark, sf_dir)
+    e = vectors.Embedder.bootstrap(i)
+    return hybrid.retriever("hybrid", i, e.documents(i), e.queries).search(_terms(_asked(spark, sf_dir)))
+
+
+@query(f"WITH {_TOK}, v AS (SELECT unnest({_sql_list(_BAG)}) AS term, unnest(range({len(_BAG)})) AS tid), x AS (SELECT doc_id, unnest(w) AS term FROM tok) SELECT doc_id AS qid, CAST(tid AS INTEGER) AS tid, count(*) AS tf FROM x JOIN v USING (term) GROUP BY doc_id, tid")
+def bow_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = spark.createDataFrame([(w, k) for k, w in enumerate(_BAG)], "term string, tid int")
+    return vectors.bag_of_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text"), v)
+
+
 # Passages ---------------------------------------------------------------------------------------------------------
 _PARA = r"par AS (SELECT doc_id, list_filter(list_transform(string_split(replace(text, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda p: regexp_replace(p, '^[ \t\r\n]+', '')), lambda p: len(p) > 0) AS ps FROM documents), chk AS (SELECT doc_id, unnest(range(len(ps))) AS chunk_id, unnest(ps) AS text FROM par)"
 
@@ -487,6 +501,15 @@ def property_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("conv_id", "turn", "best.property", "best.score")
 
 
+_MAPS = "CASE property " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in V.TYPE_OF_PROPERTY.items()) + " ELSE 'SUMMARY' END"
+
+
+@query(f"WITH {_BEST}, m AS (SELECT conv_id, turn, {_MAPS} AS answer_type FROM p) SELECT conv_id, turn, answer_type, CASE answer_type " + " ".join(f"WHEN '{k}' THEN '{p}/{f}'" for k, (p, f) in V.ANSWER_TYPES.items()) + " ELSE 'GENERAL/SUMMARY' END AS back FROM m")
+def answer_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _turns(spark, sf_dir).withColumn("a", needs.answer_type(needs.best_property("clause")["property"], F.lit("LIST"))["answer_type"])
+    return t.select("conv_id", "turn", F.col("a").alias("answer_type"), F.concat_ws("/", needs.of_answer_type(F.col("a"))["property"], needs.of_answer_type(F.col("a"))["form"]).alias("back"))
+
+
 _OWN = f"list_filter(kw, lambda x: NOT list_contains({_sql_list(V.NO_ENTITIES)}, x))"
 _ENTITY = f"coalesce(list_filter({_OWN}, lambda x: len(x) >= 2 AND regexp_matches(substr(text, CAST(instr(low, x) AS BIGINT), len(x)), '^[A-Z]+\\z'))[1], list_filter({_OWN}, lambda x: len(x) = list_max(list_transform({_OWN}, lambda y: len(y))))[1], '')"
 
