@@ -52,6 +52,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    """At most n rows, chosen by a hash of a column. What tasks send to the driver is bounded, too, however many there are."""
+    total = df.count()
+    few = df.where(F.pmod(F.xxhash64(key), F.lit(total)) < 2 * n) if total > 2 * n else df
+    return few.orderBy(F.xxhash64(key), key).limit(n)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finalizer, a bijection of 64-bit values."""
     x = x.astype(np.uint64, copy=True)

@@ -217,7 +217,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     known = common.cut(rows.mapInArrow(_usable_rows(kind), "id long, v binary"))
     copies = known.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
     reps = common.cut(copies.select(F.col("rep").alias("id"), "w", "v"))
-    sample = [r.v for r in reps.select("v").orderBy(F.xxhash64("id")).limit(SAMPLE).collect()]
+    sample = [r.v for r in common.bounded_sample(reps.select("id", "v"), "id", SAMPLE).collect()]
     turn = principal(sample, DIMENSIONS, kind) if sample else np.zeros((1, 1))
     epsilon = float(np.sqrt(2 - 2 * least_cosine))
     cells = reps.mapInArrow(_cells(turn, epsilon, kind), "id long, w long, v binary, dim int, cell array<int>")
