@@ -298,7 +298,7 @@ def fit(rows: list[tuple[float, int, int]], penalty: float = 1.0) -> np.ndarray:
 def scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted, n_hits) for every row of docs."""
     common.prepare(docs.sparkSession)
-    sample = common.cut(stats.training_labels(labels, label, id_col).orderBy(F.xxhash64("id")).limit(TRAINING_ROWS))
+    sample = common.cut(common.bounded_sample(stats.training_labels(labels, label, id_col), "id", TRAINING_ROWS))
     learned = learn_terms(docs, sample, id_col, text_col)
     found = common.cut(found_hits(docs, id_col, text_col, tuple(dict.fromkeys([*LEXICON, *learned]))))
     training = common.cut(found.join(F.broadcast(sample), "id"))
