@@ -30,7 +30,7 @@ PERCENT = 85
 #: Hashes in a sketch.
 SKETCH = 64
 #: Smallest hashes of a sketch that can go to inverted lists; how many of these a linked pair shares at least
-#: (fewer have a probability of under 2e-6 at a similarity of 0.85 and under 1e-8 at 0.9).
+#: (fewer have a probability of under 2e-6 at a similarity of 0.85 and under 4e-8 at 0.9).
 INDEXED, SHARED = 16, 6
 #: Members in a block of a list.
 BLOCK = 256

@@ -9,8 +9,7 @@ cross. Spans of at most the longest piece's length are joined to the piece table
   neighbouring pair of highest score first, so the fold is one over merges (encode()). It runs over all distinct
   units of a slice of text at once, in arrays: spans are looked up by their hashes in the sorted piece table, the
   best pair of every unit is merged, until no pair of a unit is a piece. Units longer than LONG characters go through
-  a heap. README says why this isn't done by explode and join: the edges of all units alone exceed the disk that
-  the check tool allows.
+  a heap. README has the figures of the relational form beside those of this one.
 
 Characters that no piece has become byte pieces, so decoding gives back every text: decode(encode(t)) == t.
 (As in the public library, the mark itself, U+2581, comes back as a space.)
