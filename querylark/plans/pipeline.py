@@ -135,6 +135,6 @@ def search_json(found: DataFrame) -> DataFrame:
 def latency_stats(times: DataFrame, value: str = "ms") -> DataFrame:
     """(n, p50, p95, mean, max) of one column; p is the value at place floor(p * n) from 0."""
     n = times.count()
-    ranked = dense_ids(times.select(F.col(value).alias("v")), "v", "i").withColumn("n", F.lit(n))
+    ranked = dense_ids(times.select(F.col(value).alias("v")), "v", "i").withColumn("n", F.lit(n).cast("long"))
     at = lambda p: F.max(F.when(F.col("i") == F.floor(F.col("n") * p), F.col("v")))
     return ranked.agg(F.max("n").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.avg("v").alias("mean"), F.max("v").alias("max"))
