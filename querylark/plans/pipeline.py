@@ -33,10 +33,13 @@ def need_id() -> Column:
 
 
 def understood(queries: DataFrame, memory: DataFrame | None = None, brief: bool = False, detailed: bool = False) -> DataFrame:
-    """Needs in the order of answering, support needs included, with need_id."""
+    """Needs in the order of answering, support needs included, with need_id.
+
+    Both steps in between are written once, as what follows reads each of them several times.
+    """
     found = needs.analyzed(queries)
-    found = found if memory is None else needs.remembered(found, memory)
-    plan = needs.planned(needs.overridden(needs.expanded(found), brief, detailed))
+    found = _cut(found if memory is None else needs.remembered(found, memory))
+    plan = needs.planned(_cut(needs.overridden(needs.expanded(found), brief, detailed)))
     return plan.withColumn("need_id", need_id())
 
 
