@@ -172,7 +172,9 @@ def merge_units(code: np.ndarray, begin: np.ndarray, v: Vocabulary) -> tuple[np.
         place = np.cumsum(keep) - 1
         start, end, own, key = start[keep], end[keep], own[keep], key[keep]
         hit = place[hit]
-        redo = np.unique(np.concatenate([hit, hit[hit > 0] - 1]))
+        near = np.zeros(len(start), bool)
+        near[hit] = near[hit[hit > 0] - 1] = True
+        redo = np.flatnonzero(near)
         last = redo == len(own) - 1
         pair = redo[~last][own[redo[~last]] == own[redo[~last] + 1]]
         key[redo] = none
@@ -227,7 +229,7 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
     return out[1:] if out.startswith(" ") else out
 
 
-def _grouped(column: pa.Array, most: int = common.SLICE_BYTES) -> Iterator[list[str]]:
+def _grouped(column: pa.Array, most: int = 2 * common.SLICE_BYTES) -> Iterator[list[str]]:
     """Texts of a column in runs of about `most` characters."""
     held: list[str] = []
     n = 0
