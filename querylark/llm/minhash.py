@@ -2,7 +2,7 @@
 
 One hash function orders all word shingles. Each distinct shingle set keeps its k smallest hashes (its sketch).
 The smallest of these go to inverted lists; of them, each set uses the ones with the shortest lists, as many as a
-pair that is similar enough is bound to meet in (INDEXED, SHARED below). Lists that have the same smallest member
+pair that is similar enough is bound to meet in (INDEXED, MISSED, indexing() below). Lists that have the same smallest member
 are read as one; they are dealt out as pairs of blocks of at most BLOCK members, so no task gets a whole list.
 In a pair of blocks the union-sketch estimate drops sets without a likely partner; for the others the full sets
 are compared exactly, and a spanning forest of the links goes on to the components. No pairs are written out that
@@ -17,6 +17,7 @@ not looked at. Rows that share a doc_id are one node.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -29,15 +30,25 @@ from . import common
 PERCENT = 85
 #: Hashes in a sketch.
 SKETCH = 64
-#: Smallest hashes of a sketch that can go to inverted lists; how many of these a linked pair shares at least
-#: (fewer have a probability of under 2e-6 at a similarity of 0.85 and under 4e-8 at 0.9).
-INDEXED, SHARED = 16, 6
+#: Smallest hashes of a sketch that can go to inverted lists, at least; the probability that a pair just at the
+#: threshold shares too few of them.
+INDEXED, MISSED = 16, 2e-6
 #: Members in a block of a list.
 BLOCK = 256
 #: Standard deviations of the estimate below the threshold that are still compared exactly.
 SLACK = 6.0
 
 
+def indexing(percent: int) -> tuple[int, int]:
+    """How many hashes are indexed, and how many of these a linked pair shares at least, but for MISSED."""
+    t = percent / 100
+    for size in range(INDEXED, SKETCH + 1):
+        missed = np.cumsum([comb(size, k) * t**k * (1 - t) ** (size - k) for k in range(size)])
+        if shared := int((missed < MISSED).sum()):
+            return size, shared
+    raise ValueError(f"no sketch of {SKETCH} hashes finds pairs at {percent} percent")
+
+
 def _sketches(width: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,11 +202,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = named.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     members = named.select("id", "f1", "f2", "n").join(reps, ["f1", "f2", "n"]).select("id", "rep").distinct()
     sketches = named.join(reps.select("f1", "f2", "n", F.col("rep").alias("id")), ["f1", "f2", "n", "id"], "left_semi").select("id", "n", "f1", "sketch").dropDuplicates(["id", "f1"])
-    posts = sketches.select("id", "sketch").mapInArrow(_indexed(INDEXED), "id long, v long, s int")
+    size, fewest = indexing(percent)
+    posts = sketches.select("id", "sketch").mapInArrow(_indexed(size), "id long, v long, s int")
     lengths = posts.groupBy("v").agg(F.count("*").alias("df"))
-    # A linked pair shares SHARED of its INDEXED smallest hashes (in proportion for small sets), so it meets in
-    # one of the rarest s - SHARED * s / INDEXED + 1 of either.
-    least = F.greatest(F.lit(1), F.floor(F.col("s") * SHARED / INDEXED))
+    # A linked pair shares `fewest` of its `size` smallest hashes (in proportion for small sets), so it meets in
+    # one of the rarest s - fewest * s / size + 1 of either.
+    least = F.greatest(F.lit(1), F.floor(F.col("s") * fewest / size))
     ranked = posts.join(lengths, "v").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "v")))
     lists = common.cut(ranked.where((F.col("r") <= F.col("s") - least + 1) & (F.col("df") > 1)).select("v", "id"))
     first = lists.groupBy("v").agg(F.min("id").alias("p"), F.count("*").alias("c")).where("c > 1").select("v", "p")

@@ -61,3 +61,17 @@ def test_edges(spark):
     assert got == [(-1, 1, -1, True), (1, 0, 1, True), (2, 0, 2, True), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 1, 6, True), (6, 1, 6, True), (7, 1, 6, False)]
     assert minhash.drop_near_duplicates(df).count() == 7
     assert minhash.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_pair_at_a_lower_threshold_with_few_shared_hashes(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    words = [f"w{k}" for k in range(110)]
+    batch = pa.record_batch([pa.array(range(110), pa.int64()), pa.array(words)], ["id", "text"])
+    hashes = [np.frombuffer(x, np.uint64)[0] for out in minhash._sets(1)([batch]) for x in out.column(1).to_pylist()]
+    w = [x for _, x in sorted(zip(hashes, words))]
+    # 88 of 110 words are shared, but only 5 of the 16 smallest hashes of each.
+    rows = [(1, " ".join(w[0:22:2] + w[22:])), (2, " ".join(w[1:22:2] + w[22:]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.component_id for r in minhash.near_duplicates(df, percent=80, width=1).collect()} == {1}
