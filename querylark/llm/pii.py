@@ -2,7 +2,8 @@
 
 Base spans (email, ip, card, phone) are fixed patterns, found leftmost and without overlap within a kind. The field
 adds spans that they miss: secrets, and the same kinds written in other ways. It runs over the runs of tokens
-around anything with a digit, "@", "=" or a word that announces data; a token is a run of non-space characters.
+around anything that a shape of an added span needs: a digit, "@", "=", "[", "at" or "dot" as a word or in brackets, a
+word like "password", or the beginning of a key; a token is a run of non-space characters.
 Candidate segments have at most MAX_TOKENS tokens and are scored as wholes (shape of the span, digits, checksums,
 letters before it); dynamic programming over segment ends picks the boundaries and types with the highest joint
 score. Weights are learned by a structured perceptron on sentences that a fixed generator writes; nothing is read
@@ -98,9 +99,12 @@ _CUES = {
     "id": frozenset("ssn social iban passport account konto license".split()),
     "ip": frozenset("ip host address server".split()),
 }
+#: The end of a sentence within a span.
+_STOP = re.compile(r"\w\.\s")
 _CUE_WORDS = {w: k for k, ws in _CUES.items() for w in ws}
 _TOKEN = re.compile(r"\S+")
-_TRIGGER = re.compile(r"[0-9@=]")
+#: What starts a region: every shape that is allowed below needs one of these.
+_TRIGGER = re.compile(r"[0-9@=\[]|\((?:at|dot)\)|(?<!\S)(?:at|dot)(?!\S)|passw(?:or)?d|pwd|secret|token|api_?key|(?:AKIA|ASIA)[A-Z]{16}|(?:sk|pk|ghp|gho|xox[bap])[-_][a-z_-]{16}|[a-f]{32}", re.I)
 _TRIM_LEFT, _TRIM_RIGHT = "\"'([{<“«", "\"')]}>.,;:!?”»"
 _SHAPES: dict[str, re.Pattern[str]] = {
     "access_key": re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}"),
@@ -138,6 +142,8 @@ def features(span: str, before: str, kind: str) -> list[str]:
         out.append(f"{kind}|iban={_iban_ok(span)}")
     if span[:1] in "\"'[{<" or span[-1:] in _TRIM_RIGHT:
         out.append(f"{kind}|ragged")
+    if _STOP.search(span):
+        out.append(f"{kind}|stop")
     out.append(f"{kind}|tokens={span.count(' ') + 1}")
     return out
 
@@ -205,7 +211,20 @@ def _generated(seed: int = 11, n: int = 1500) -> Iterator[tuple[str, list[Span]]
         lambda: str(r.randrange(10**9)), lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", lambda: f"v{r.randrange(9)}.{r.randrange(20)}.{r.randrange(50)}",
         lambda: f"{r.randrange(100)}.{r.randrange(100)}%", lambda: f"sha256 {pick(hexa, 64)}", lambda: f"commit {pick(hexa, 40)}", lambda: "password policy", lambda: f"x={r.randrange(99)}", lambda: f"{word()} at {word()} dot",
     ]
-    for _ in range(n):
+    more: list[Callable[[], tuple[str, str, str]]] = [
+        lambda: (r.choice(["mail ", ""]), "email", f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}"),
+        lambda: (r.choice(["mail ", ""]), "email", f"{word()} {r.choice(['(at)', '[at]', 'at'])} {word()}.{r.choice(['com', 'org', 'net'])}"),
+        lambda: ("", "secret", f"{r.choice(['password', 'token', 'secret'])}: {pick(low, r.randrange(8, 30))}"),
+        lambda: ("", "secret", f"{r.choice(['sk', 'ghp'])}_{pick(low, r.randrange(16, 30))}"),
+    ]
+    ends: list[Callable[[], str]] = [
+        lambda: f"{word()} at {word()}.{r.choice(' ' + chr(10))}{word().title()}",
+        lambda: f"{word()} at {word()}. {word().title()}. {word().title()}",
+        lambda: f"{word()}. At {word()}.{r.choice(' ' + chr(10))}{word().title()}",
+    ]
+    for k in range(n + n // 2):
+        if k == n:
+            makers, none = more, ends
         text, spans = "", []
         for _ in range(r.randrange(1, 4)):
             text += " ".join(word() for _ in range(r.randrange(1, 6))) + " "
@@ -242,15 +261,19 @@ def trained(epochs: int = 4) -> dict[str, float]:
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Runs of tokens near a trigger or an announcing word, in pieces of at most REGION tokens."""
+    """Runs of tokens near a trigger, as far as a span with it and the word before can reach, in pieces of at most REGION tokens."""
     run: list[tuple[int, int]] = []
     behind = 0
     recent: list[tuple[int, int]] = []
+    starts = (m.start() for m in _TRIGGER.finditer(text))
+    start = next(starts, None)
     for m in _TOKEN.finditer(text):
-        if _TRIGGER.search(m[0]) or "[" in m[0] or "(at)" in m[0]:
+        if start is not None and start < m.end():
+            while start is not None and start < m.end():
+                start = next(starts, None)
             if not run:
-                run = recent[-3:]
-            behind = 4
+                run = recent
+            behind = MAX_TOKENS
         if behind or run:
             if behind:
                 run.append(m.span())
@@ -258,20 +281,19 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
             else:
                 yield run
                 run = []
+        if start is None and not behind:
+            break
         if len(run) >= REGION:
             yield run
             run = run[-MAX_TOKENS:]
-        recent = [*recent[-2:], m.span()]
+        recent = [*recent[1 - MAX_TOKENS :], m.span()]
     if run:
         yield run
 
 
-_ANY = re.compile(r"[0-9@=\[]|\(at\)")
-
-
 def all_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text; ordered by start, then kind."""
-    if not _ANY.search(text):
+    if not _TRIGGER.search(text):
         return [], []
     base = base_spans(text)
     more: set[Span] = set()
