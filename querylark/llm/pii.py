@@ -31,7 +31,8 @@ from . import common
 
 #: Kinds in their order; base patterns have the first four.
 KINDS = ("email", "ip", "card", "phone", "secret", "id")
-MAX_TOKENS = 6
+#: Tokens of the longest span that the shapes allow (iban: nine groups), but for spelled emails, which go on below.
+MAX_TOKENS = 9
 REGION = 512
 
 Span = tuple[str, int, int]
@@ -120,6 +121,9 @@ _SHAPES: dict[str, re.Pattern[str]] = {
     "date": re.compile(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"),
     "number": re.compile(r"[0-9][0-9.,:]*%?"),
 }
+#: The longest iban at a place, and what of a spelled email goes on after MAX_TOKENS tokens.
+_WHOLE_IBAN = re.compile(_SHAPES["iban"].pattern + r"(?![A-Za-z0-9])")
+_LABELS = re.compile(r"(?:\s*(?:\[dot\]|\(dot\)|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I)
 #: Kinds that a candidate span may get for its shape to matter; others aren't candidates.
 _ALLOWED = {"access_key": "secret", "assigned": "secret", "assigned_apart": "secret", "prefixed_key": "secret", "hex_run": "secret", "local_phone": "phone", "zero_phone": "phone", "spelled_email": "email", "ssn": "id", "iban": "id"}
 
@@ -157,12 +161,14 @@ def candidates(text: str, tokens: list[tuple[int, int]], k: int, n: int) -> Iter
         b -= 1
     if a > tokens[k][0] and text[a - 1] == "(" and ")" in text[a:b]:
         a -= 1
-    if b - a < 6 or b - a > 200:
+    if b - a < 6:
         return
     span = text[a:b]
     seen = set()
     for name, kind in _ALLOWED.items():
         if kind not in seen and _SHAPES[name].fullmatch(span):
+            if name == "iban" and not _iban_ok(span) and (_iban_ok(span.rpartition(" ")[0]) or (m := _WHOLE_IBAN.match(text, a)) and m.end() > b):
+                continue
             seen.add(kind)
             yield a, b, kind
 
@@ -195,6 +201,13 @@ def _generated(seed: int = 11, n: int = 1500) -> Iterator[tuple[str, list[Span]]
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
     low, hexa, up = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     word = lambda: pick(low, r.randrange(2, 9))
+
+    def iban() -> str:
+        country, body = pick(up[:26], 2), pick(r.choice([up, up[26:]]), r.randrange(12, 31))
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        s = f"{country}{check if r.random() < 0.7 else r.randrange(2, 99):02}{body}"
+        return s if r.random() < 0.3 else " ".join(s[k : k + 4] for k in range(0, len(s), 4))
+
     makers: list[Callable[[], tuple[str, str, str]]] = [
         lambda: ("", "secret", "AKIA" + pick(up, 16)),
         lambda: ("", "secret", f"{r.choice(['password', 'token', 'secret', 'api_key'])}={pick(hexa, r.randrange(8, 30))}"),
@@ -216,6 +229,7 @@ def _generated(seed: int = 11, n: int = 1500) -> Iterator[tuple[str, list[Span]]
         lambda: (r.choice(["mail ", ""]), "email", f"{word()} {r.choice(['(at)', '[at]', 'at'])} {word()}.{r.choice(['com', 'org', 'net'])}"),
         lambda: ("", "secret", f"{r.choice(['password', 'token', 'secret'])}: {pick(low, r.randrange(8, 30))}"),
         lambda: ("", "secret", f"{r.choice(['sk', 'ghp'])}_{pick(low, r.randrange(16, 30))}"),
+        lambda: (r.choice(["iban ", "IBAN: ", ""]), "id", iban()),
     ]
     ends: list[Callable[[], str]] = [
         lambda: f"{word()} at {word()}.{r.choice(' ' + chr(10))}{word().title()}",
@@ -299,6 +313,8 @@ def all_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Sp
     more: set[Span] = set()
     for tokens in regions(text):
         for _, _, (kind, a, b) in decode(text, tokens, lambda f: sum(weights.get(x, 0.0) for x in f)):
+            if kind == "email" and (m := _LABELS.match(text, b)):
+                b = m.end()
             more.add((kind, a, b))
     added: list[Span] = []
     end, k = 0, 0

@@ -82,3 +82,16 @@ def test_every_shape_starts_a_region():
         text = f"{filler} {span} {filler}"
         tokens = {t for run in pii.regions(text) for t in run}
         assert {m.span() for m in re.finditer(r"\S+", text) if len(filler) < m.start() <= len(filler) + len(span)} <= tokens, span
+
+
+def test_field_has_no_longest_span():
+    for span in ["token=" + "aB3_" * 70, 'token = "' + "ab12" * 60, "sk_" + "aB3" * 80, "secret=" + "x" * 100_000]:
+        assert spans(f"we have {span} here") == [("secret", span)]
+    for span in ["FR76 3000 6000 0112 3456 7890 189", "IT60 X054 2811 1010 0000 0123 456", "PL61 1090 1014 0000 0712 1981 2874", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "AB12 CDEF GHIJ KLMN OPQR STUV WXYZ ABCD EFG"]:
+        assert spans(f"pay to {span}, thanks") == [("id", span)]
+    r = random.Random(8)
+    for n in range(4, 10):
+        span = " ".join(["XK27", *("".join(r.choice("0123456789ABCD") for _ in range(4)) for _ in range(min(n, 8) - 1)), *["12A"] * (n == 9)])
+        assert spans(f"pay to {span} now") == [("id", span)], span
+    span = "jane at a dot b dot c dot d dot e dot com"
+    assert spans(f"mail {span} now") == [("email", span)]
