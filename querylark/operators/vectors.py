@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from querylark.functions import text as T
 
-from .index import Index, dense_ids
+from .index import Index
 
 
 def l2(a: Column, b: Column) -> Column:
@@ -138,30 +138,40 @@ def bag_of_texts(texts: DataFrame, vocabulary: DataFrame, key: str = "qid", text
     return words.join(vocabulary.select("term", "tid"), "term").groupBy(key, "tid").agg(F.count("*").alias("tf"))
 
 
+def drawn(rows: np.ndarray, size: int) -> np.ndarray:
+    """A row of `size` weights in [-1, 1) for each hash: the same for the same hash, wherever it is drawn."""
+    x = rows.astype(np.int64).view(np.uint64)[:, None] + np.arange(1, size + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / 2.0**52 - 1.0
+
+
 class Embedder:
-    """Bags of words over the most frequent terms (a bounded number) through a two-layer model, in one pass each."""
+    """Bags of words over all terms through an untrained two-layer model, in one pass each.
+
+    A term's id is a seeded hash, and its weights are drawn from that, so that nothing holds a table of all terms. Their
+    scale doesn't matter, as there is no bias and vectors have length 1.
+    """
 
-    def __init__(self, vocabulary: DataFrame, model: TwoLayer) -> None:
-        self.vocabulary, self.model = vocabulary, model
+    def __init__(self, vocabulary: DataFrame, hidden: int = 64, out: int = 32, seed: int = 42) -> None:
+        """vocabulary(term, tid): the terms that count in queries."""
+        self.vocabulary, self.hidden, self.out, self.seed = vocabulary, hidden, out, seed
 
     @classmethod
-    def bootstrap(cls, index: Index, most_terms: int = 20_000, hidden: int = 64, out: int = 32, seed: int = 42) -> Embedder:
+    def bootstrap(cls, index: Index, hidden: int = 64, out: int = 32, seed: int = 42) -> Embedder:
         """Vocabulary and untrained model of an index."""
-        frequent = index.terms.orderBy(F.desc("df"), "term").limit(most_terms).select("term")
-        vocabulary = dense_ids(frequent, "term", "tid").persist()
-        return cls(vocabulary, TwoLayer(max(1, vocabulary.count()), hidden, out, seed))
+        return cls(index.terms.select("term", F.xxhash64("term", F.lit(seed)).alias("tid")), hidden, out, seed)
 
     def embedded(self, bag: DataFrame, key: str, name: str) -> DataFrame:
         """(key, name) for bag(key, tid, tf); keys without a known word are left out."""
-        m = self.model
-        w1t, b1, w2, b2 = np.ascontiguousarray(m.w1.T.astype(np.float32)), m.b1, m.w2, m.b2
+        hidden, w2 = self.hidden, np.random.default_rng(self.seed).uniform(-1, 1, (self.out, self.hidden))
 
         def run(batches):
             for pdf in batches:
                 out = []
                 for cells in pdf.cells:
                     tid, tf = np.array([c["tid"] for c in cells]), np.array([c["tf"] for c in cells], float)
-                    v = np.maximum(0, w2 @ np.maximum(0, tf @ w1t[tid] + b1) + b2)
+                    v = np.maximum(0, w2 @ np.maximum(0, tf @ drawn(tid, hidden)))
                     n = np.linalg.norm(v)
                     out.append((v / n if n else v).astype(np.float32))
                 yield pd.DataFrame({key: pdf[key], name: out})
@@ -171,7 +181,8 @@ class Embedder:
 
     def documents(self, index: Index) -> DataFrame:
         """(vec_id, embedding), vec_id being the document's id."""
-        return self.embedded(bags(index, self.vocabulary).withColumnRenamed("doc_id", "vec_id"), "vec_id", "embedding")
+        bag = index.postings.select(F.col("doc_id").alias("vec_id"), F.xxhash64("term", F.lit(self.seed)).alias("tid"), "tf")
+        return self.embedded(bag, "vec_id", "embedding")
 
     def queries(self, wanted: DataFrame) -> DataFrame:
         """(qid, q) of wanted(qid, term): each query's keywords as one text."""

@@ -195,3 +195,15 @@ def test_streams(spark, tmp_path):
     q = ingest.remembered(s).writeStream.format("memory").queryName("remembered").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert {(r.conv_id, r.turn): r.carried for r in spark.table("remembered").collect()} == {(1, 1): "mars", (1, 2): "mars", (2, 1): ""}
+
+
+def test_embedder_uses_every_term(spark):
+    frequent = " ".join(f"a{k}" for k in range(20_001))
+    i = index(spark, [frequent, frequent, "zzrare zzrarer", "zzrarer zzrare"])
+    e = vectors.Embedder.bootstrap(i)
+    got = {r.vec_id: r.embedding for r in e.documents(i).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1] == got[2] and got[3] == got[4] != got[1]
+    wanted = spark.createDataFrame([(1, "zzrare"), (1, "zzrarer"), (2, "unknown")], "qid long, term string")
+    assert {r.qid: r.q for r in e.queries(wanted).collect()} == {1: got[3]}
+    w = vectors.drawn(np.array([-1, 5, 5]), 4000)
+    assert (w[1] == w[2]).all() and (w[0] != w[1]).any() and abs(w.mean()) < 0.02 and w.min() >= -1 and w.max() < 1 and w.std() == pytest.approx(3**-0.5, abs=0.01)
