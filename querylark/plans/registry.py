@@ -424,7 +424,7 @@ def chunk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CHOSEN}, e AS (SELECT doc_id, chunk_id, row_number() OVER (ORDER BY doc_id, k) AS ev_ord FROM ck WHERE k <= 2 AND doc_id < 60) SELECT doc_id, chunk_id, CAST(ev_ord AS INTEGER) AS ev_ord FROM e WHERE ev_ord <= 15")
 def evidence_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks.selected(_pieces(spark, sf_dir).where("doc_id < 60"), 2).withColumn("rk", F.col("doc_id"))
+    c = chunks.selected(_pieces(spark, sf_dir), 2).withColumn("rk", F.col("doc_id"))
     return chunks.capped(c).select("doc_id", "chunk_id", "ev_ord")
 
 

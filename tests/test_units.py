@@ -207,3 +207,13 @@ def test_embedder_uses_every_term(spark):
     assert {r.qid: r.q for r in e.queries(wanted).collect()} == {1: got[3]}
     w = vectors.drawn(np.array([-1, 5, 5]), 4000)
     assert (w[1] == w[2]).all() and (w[0] != w[1]).any() and abs(w.mean()) < 0.02 and w.min() >= -1 and w.max() < 1 and w.std() == pytest.approx(3**-0.5, abs=0.01)
+
+
+def test_evidence_cap_looks_at_all_ids(spark, tmp_path):
+    from querylark.plans import registry
+
+    # The first hundred documents have no passages.
+    docs = [(k, "" if k < 100 else f"the passage of document {k} is a long one") for k in range(130)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted((r.ev_ord, r.doc_id) for r in registry.QUERIES["evidence_cap"](spark, str(tmp_path)).collect())
+    assert got == [(k + 1, 100 + k) for k in range(15)]
