@@ -217,3 +217,14 @@ def test_evidence_cap_looks_at_all_ids(spark, tmp_path):
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = sorted((r.ev_ord, r.doc_id) for r in registry.QUERIES["evidence_cap"](spark, str(tmp_path)).collect())
     assert got == [(k + 1, 100 + k) for k in range(15)]
+
+
+def test_ask_pipeline_asks_with_the_whole_text(spark, tmp_path):
+    from querylark.plans import registry
+
+    text = "compilers translate programs written in languages for people into code for machines and sometimes optimise zebrafish"
+    spark.createDataFrame([(1, "A zebrafish is a small animal in warm rivers."), (2, "Compilers translate programs.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, text)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = registry.QUERIES["ask_pipeline"](spark, str(tmp_path)).where("NOT is_support").collect()
+    assert {w for r in got for w in r.keywords} >= {"compilers", "optimise", "zebrafish"}
+    assert 1 in {d for r in got for d in r.sources}
