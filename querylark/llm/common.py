@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -15,6 +16,8 @@ from querylark.shipping import ship
 
 #: Most bytes of text that one numpy pass looks at (a longer single text is a pass of its own).
 SLICE_BYTES = 1 << 21
+#: A key with more than one in HOT of all rows is hot.
+HOT = 512
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -29,11 +32,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a local one only where that is unset, as in tests."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a local one in local mode, as in tests; on a cluster an error, since a machine's own folder would be lost with it."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     return named or _local_dir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate data in whatever store it lies."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _LOCAL: list[str] = []
 
 
@@ -197,6 +216,46 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterato
         yield pa.concat_tables(held)
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Runs of whole groups of a partition sorted by `keys`, and where each group begins (the end of the last one, too).
+
+    Holds one batch, or one group where that is larger.
+    """
+    held: list[pa.RecordBatch] = []
+    mark = None
+
+    def out() -> tuple[pa.Table, np.ndarray]:
+        table = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(table.num_rows, bool)
+        for k in keys:
+            c = table[k].to_numpy()
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = True
+        return table, np.append(np.flatnonzero(new), table.num_rows)
+
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+        new = np.zeros(n, bool)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        new[0] = mark is not None and tuple(c[0] for c in cols) != mark
+        at = np.flatnonzero(new)
+        if len(at):
+            last = int(at[-1])
+            if last:
+                held.append(batch.slice(0, last))
+            yield out()
+            held = []
+            batch = batch.slice(last)
+        held.append(batch)
+        mark = tuple(c[-1] for c in cols)
+    if held:
+        yield out()
+
+
 class Forest:
     """Union-find over 0..n-1 with path halving; the smaller root wins."""
 
@@ -236,24 +295,39 @@ def spanning(n: int, linked: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
+def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """rows joined with per_key, which has one row a key and in c the number of rows with it, all in `total` or fewer.
+
+    Keys with more than one in HOT of the rows are hot; there can't be more than HOT of them, so they are broadcast and
+    their rows stay where they are. No task of the other join gets more than that share through one key.
+    """
+    hot = cut(per_key.where(F.col("c") * HOT > total))
+    if hot.isEmpty():
+        return rows.join(per_key, keys)
+    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rest.join(per_key.where(F.col("c") * HOT <= total), keys).unionByName(rows.join(F.broadcast(hot), keys))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, root) for every id in edges(a, b): the smallest id that it reaches.
 
     Alternates large-star and small-star steps until nothing changes; each step is joins and partial
-    aggregates over edges, checkpointed, so no component has to fit in a task or the driver.
+    aggregates over edges, checkpointed, so no component has to fit in a task or the driver. The centre of a star,
+    which has as many edges as its component has members, is a hot key of these joins (join_per_key).
     """
     e = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    while True:
+    n = e.count()
+    while n:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c")
+        large = cut(join_per_key(both, least, ["u"], 2 * n).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        small = join_per_key(large, least, ["u"], 2 * n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
-        mark = now
+        mark, n = now, now[0]
     roots = e.select(F.col("u").alias("id"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("id"), "root").distinct())

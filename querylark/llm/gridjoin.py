@@ -3,25 +3,31 @@
 Unit vectors are projected on the leading principal dimensions and sorted by grid cells of side epsilon, the
 distance that the least cosine allows. The sorted sequence is cut into intervals (blocks) with bounding boxes. Two
 blocks are compared only if their boxes come within epsilon: their names meet by an equi-join on the cells of the first
-dimension that they cover (one more to either side); each block then gets the blocks to compare it with one after the
-other. What is left of a pair is split recursively into half sequences,
-leaving out halves that are provably distant. At the leaves cosines are computed exactly in double precision.
+JOINED dimensions that they cover (one more to either side), and each pair is taken in one of the cells that both cover, the
+last in all dimensions. A task gets a block with at most PARTNERS others to compare it with. What is left of a pair is
+split recursively into half sequences, leaving out halves that are provably distant. Halves that are provably near, as
+all their vectors lie within a ball that is small enough, are linked without comparing. At the other leaves cosines are
+computed exactly in double precision.
 Copies of a vector are one row with a weight. Counts of links are sums over blocks and only spanning forests of
 links leave a task, so no task writes all pairs.
 
 Edge cases: null or empty vectors, zero vectors and those with null or non-finite components link with nothing,
 have n_links 0 and are kept; vectors of differing lengths are never linked; repeated rows of one id are that many
-copies; rows without id take no part in links and are kept; an empty table gives an empty result; other columns
+copies (of differing vectors, the id has the links of all of them together in component_id, and the most of one in n_links);
+a cosine of exactly the least is a link, as far as double precision tells; rows without id take no part in links and are kept; an empty table gives an empty result; other columns
 are not looked at.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,15 +39,31 @@ LEAST_COSINE = 0.95
 DIMENSIONS, SAMPLE = 6, 4096
 #: Vectors in a block, and in a leaf of the recursive join.
 BLOCK, LEAF = 4096, 256
+#: Grid dimensions by which blocks meet, and blocks that a task compares with one block.
+JOINED, PARTNERS = 3, 8
 
 
-def usable(column: pa.Array) -> list[np.ndarray | None]:
-    """Vectors of finite components in double precision; None for the rest."""
-    out: list[np.ndarray | None] = []
-    for v in column.to_pylist():
-        a = None if not v or None in v else np.asarray(v, np.float64)
-        out.append(a if a is not None and np.isfinite(a).all() else None)
-    return out
+def usable(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(places, matrix) for each length of the vectors that are not empty and have finite components only, in double precision."""
+    if pa.types.is_fixed_size_list(column.type):
+        column = column.cast(pa.list_(column.type.value_type))
+    size = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+    flat = column.flatten()
+    bad = pc.is_null(flat).to_numpy(zero_copy_only=False) if flat.null_count else np.zeros(len(flat), bool)
+    x = np.asarray((pc.fill_null(flat, 0) if flat.null_count else flat).to_numpy(zero_copy_only=False), np.float64)
+    bad = bad | ~np.isfinite(x)
+    end = np.cumsum(size)
+    wrong = np.concatenate([[0], np.cumsum(bad)])
+    good = (size > 0) & (wrong[end] == wrong[end - size])
+    for n in np.unique(size[good]).tolist():
+        at = np.flatnonzero(good & (size == n))
+        yield at, x[(end[at] - n)[:, None] + np.arange(n)[None, :]]
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """The rows of a matrix as binary values."""
+    x = np.ascontiguousarray(x)
+    return pa.array([r.tobytes() for r in x], pa.binary())
 
 
 def _usable_rows(kind: str):
@@ -49,12 +71,11 @@ def _usable_rows(kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keep, packed = batch.column(0).to_pylist(), [], []
-            for i, v in zip(ids, usable(batch.column(1))):
-                if i is not None and v is not None and v.any():
-                    keep.append(i)
-                    packed.append(v.astype(kind).tobytes())
-            yield pa.record_batch([pa.array(keep, pa.int64()), pa.array(packed, pa.binary())], ["id", "v"])
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for at, x in usable(batch.column(1)):
+                some = known[at] & x.any(1)
+                if some.any():
+                    yield pa.record_batch([batch.column(0).take(pa.array(at[some])), packed(x[some].astype(kind))], ["id", "v"])
 
     return run
 
@@ -88,7 +109,7 @@ def _blocks(turn: np.ndarray, epsilon: float, size: int, kind: str):
             low, high = y.min(0), y.max(0)
             ids = t["id"].to_numpy()
             name = int(common.mix64(ids[:1].view(np.uint64) ^ np.uint64(crc32(v[0]) << 32))[0].view(np.int64))
-            return pa.record_batch([[name], [x.shape[1]], [int(np.floor(low[0] / epsilon))], [int(np.floor(high[0] / epsilon))], [low.tolist()], [high.tolist()], [ids.tobytes()], [t["w"].to_numpy().tobytes()], pa.array([b"".join(v)], pa.binary())], schema=_PACKED)
+            return pa.record_batch([[name], [x.shape[1]], [np.floor(low / epsilon).astype(int).tolist()], [np.floor(high / epsilon).astype(int).tolist()], [low.tolist()], [high.tolist()], [ids.tobytes()], [t["w"].to_numpy().tobytes()], pa.array([b"".join(v)], pa.binary())], schema=_PACKED)
 
         def cut_up(t: pa.Table, last: bool) -> Iterator[pa.Table]:
             lens = np.array([len(a) for a in t["v"].to_pylist()])
@@ -116,23 +137,33 @@ def _blocks(turn: np.ndarray, epsilon: float, size: int, kind: str):
     return run
 
 
-_PACKED = pa.schema([("name", pa.int64()), ("dim", pa.int32()), ("c0", pa.int32()), ("c1", pa.int32()), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("w", pa.binary()), ("x", pa.binary())])
-_PACKED_SQL = "name long, dim int, c0 int, c1 int, low array<double>, high array<double>, ids binary, w binary, x binary"
+_PACKED = pa.schema([("name", pa.int64()), ("dim", pa.int32()), ("c0", pa.list_(pa.int32())), ("c1", pa.list_(pa.int32())), ("low", pa.list_(pa.float64())), ("high", pa.list_(pa.float64())), ("ids", pa.binary()), ("w", pa.binary()), ("x", pa.binary())])
+_PACKED_SQL = "name long, dim int, c0 array<int>, c1 array<int>, low array<double>, high array<double>, ids binary, w binary, x binary"
 
 
 def _cells(turn: np.ndarray, epsilon: float, kind: str):
-    """(id, w, v, cell...) with the grid cell of each vector."""
+    """(id, w, v, dim, cell) with the grid cell of each vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [np.frombuffer(a, kind) for a in batch.column(2).to_pylist()]
-            y = np.array([unit(a[None])[0] @ turn if len(a) == turn.shape[0] else np.zeros(turn.shape[1]) for a in rows]).reshape(len(rows), turn.shape[1])
-            cells = np.floor(y / epsilon).astype(np.int32)
-            yield pa.record_batch([*batch.columns, pa.array([len(a) for a in rows], pa.int32()), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "w", "v", "dim", "cell"])
+            rows = batch.column(2).to_pylist()
+            dim = np.array([len(a) for a in rows], np.int64) // np.dtype(kind).itemsize
+            cells = np.zeros((len(rows), turn.shape[1]), np.int32)
+            at = np.flatnonzero(dim == turn.shape[0])
+            if len(at):
+                x = unit(np.frombuffer(b"".join(rows[k] for k in at.tolist()), kind).reshape(len(at), -1))
+                cells[at] = np.floor(x @ turn / epsilon)
+            yield pa.record_batch([*batch.columns, pa.array(dim.astype(np.int32)), pa.array(list(cells), pa.list_(pa.int32()))], ["id", "w", "v", "dim", "cell"])
 
     return run
 
 
+def ball(x: np.ndarray) -> tuple[np.ndarray, float]:
+    """A point and the largest distance of a row from it."""
+    c = x.mean(0)
+    return c, float(np.sqrt((((x - c) ** 2).sum(1)).max()))
+
+
 def leaf_pairs(a: np.ndarray, b: np.ndarray, ya: np.ndarray, yb: np.ndarray, epsilon: float, same: bool) -> Iterator[tuple[int, int, int, int]]:
     """Pairs of runs (a0, a1, b0, b1) of at most LEAF rows each that aren't provably distant, by recursive halving."""
     todo = [(0, len(a), 0, len(b))]
@@ -154,7 +185,7 @@ def leaf_pairs(a: np.ndarray, b: np.ndarray, ya: np.ndarray, yb: np.ndarray, eps
 
 
 def _joined(turn: np.ndarray, epsilon: float, least: float, kind: str):
-    """Rows sorted by (name, other): a block, then the blocks to compare it with.
+    """Rows sorted by block, turn and other: a block, then the blocks to compare it with; in its first turn with itself, too.
 
     Gives (a, b, n): b null and n links found for vector a, or a link (a, b) of a spanning forest.
     """
@@ -171,6 +202,14 @@ def _joined(turn: np.ndarray, epsilon: float, least: float, kind: str):
         up = common.Forest(shift + len(ids2))
         edges: list[tuple[int, int]] = []
         for a0, a1, b0, b1 in leaf_pairs(x, x2, y, y2, epsilon, same):
+            if not (same and a0 == b0):
+                (c, r), (c2, r2) = ball(x[a0:a1]), ball(x2[b0:b1])
+                if np.sqrt(((c - c2) ** 2).sum()) + r + r2 < epsilon - 1e-6:  # any two are nearer than epsilon
+                    n[a0:a1] += w2[b0:b1].sum()
+                    n2[b0:b1] += w[a0:a1].sum()
+                    edges += [(a0, t) for t in range(b0, b1) if up.join(a0, shift + t)]
+                    edges += [(s, b0) for s in range(a0, a1) if up.join(s, shift + b0)]
+                    continue
             linked = x[a0:a1] @ x2[b0:b1].T >= least
             if same:
                 linked &= np.arange(a0, a1)[:, None] < np.arange(b0, b1)[None, :]
@@ -202,7 +241,8 @@ def _joined(turn: np.ndarray, epsilon: float, least: float, kind: str):
                 r = batch.slice(k, 1).to_pylist()[0]
                 if r["other"] == 0:
                     mine = opened(r)
-                    yield from compared(mine, mine, True)
+                    if r["turn"] == 0:
+                        yield from compared(mine, mine, True)
                 else:
                     yield from compared(mine, opened(r), False)
 
@@ -215,28 +255,47 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     kind = "f4" if rows.schema["v"].dataType.elementType.typeName() == "float" else "f8"
     known = common.cut(rows.mapInArrow(_usable_rows(kind), "id long, v binary"))
-    copies = known.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("w"))
-    reps = common.cut(copies.select(F.col("rep").alias("id"), "w", "v"))
+    copies = known.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
+    # Distinct vectors have a number of their own: one id may have several.
+    reps = common.cut(copies.select(F.monotonically_increasing_id().alias("id"), F.col("c").alias("w"), "v", "rep"))
     sample = [r.v for r in common.bounded_sample(reps.select("id", "v"), "id", SAMPLE).collect()]
     turn = principal(sample, DIMENSIONS, kind) if sample else np.zeros((1, 1))
     epsilon = float(np.sqrt(2 - 2 * least_cosine))
-    cells = reps.mapInArrow(_cells(turn, epsilon, kind), "id long, w long, v binary, dim int, cell array<int>")
+    cells = reps.select("id", "w", "v").mapInArrow(_cells(turn, epsilon, kind), "id long, w long, v binary, dim int, cell array<int>")
     order = ["dim", "cell", "id"]
     # In one sequence over all partitions, each partition holds a run of it; blocks are cut within partitions.
     blocks = common.cut(cells.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "w", "v").mapInArrow(_blocks(turn, epsilon, BLOCK, kind), _PACKED_SQL))
-    near = blocks.select("name", "dim", F.explode(F.sequence("c0", "c1")).alias("cell"), "low", "high")
-    wide = blocks.select(F.col("name").alias("name2"), "dim", F.explode(F.sequence(F.col("c0") - 1, F.col("c1") + 1)).alias("cell"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    dims = range(min(JOINED, turn.shape[1]))
+
+    def covered(df: DataFrame, more: int) -> DataFrame:
+        """A row for each cell, in the leading dimensions, that a block covers, and `more` to either side."""
+        for d in dims:
+            df = df.withColumn(f"cell{d}", F.explode(F.sequence(F.get("c0", F.lit(d)) - more, F.get("c1", F.lit(d)) + more)))
+        return df
+
+    box = ["name", "dim", "c0", "low", "high"]
+    near = covered(blocks.select(*box, "c1"), 0).drop("c1")
+    wide = covered(blocks.select(*box, "c1"), 1).drop("c1").select("dim", *[f"cell{d}" for d in dims], *[F.col(c).alias(f"{c}2") for c in ("name", "c0", "low", "high")])
     gap = F.aggregate(F.zip_with(F.zip_with("low", "high2", lambda a, b: a - b), F.zip_with("low2", "high", lambda a, b: a - b), lambda a, b: F.greatest(a, b, F.lit(0.0))), F.lit(0.0), lambda s, g: s + g * g)
-    pairs = near.join(wide, ["dim", "cell"]).where((F.col("name") <= F.col("name2")) & (gap <= epsilon * epsilon + 1e-9)).select("name", "name2").distinct()
-    packed = ["dim", "ids", "w", "x"]
-    others = pairs.where("name <> name2").join(blocks.select(F.col("name").alias("name2"), *packed), "name2").select("name", F.lit(1).alias("other"), *packed)
-    met = blocks.select("name", F.lit(0).alias("other"), *packed).unionByName(others).repartition("name").sortWithinPartitions("name", "other")
+    # Two blocks meet in every cell that both cover; the one with the smallest coordinates counts.
+    once = [F.col(f"cell{d}") == F.greatest(F.get("c0", F.lit(d)), F.get("c02", F.lit(d)) - 1) for d in dims]
+    pairs = near.join(wide, ["dim", *[f"cell{d}" for d in dims]]).where((F.col("name") < F.col("name2")) & (gap <= epsilon * epsilon + 1e-9) & reduce(and_, once)).select("name", "name2")
+    pairs = common.cut(pairs)
+    partners = pairs.groupBy("name").agg(F.count("*").alias("c"), F.ceil(F.count("*") / PARTNERS).cast("int").alias("turns"))
+    packed_ = ["dim", "ids", "w", "x"]
+    dealt = common.join_per_key(pairs, partners, ["name"], pairs.count()).select("name", "name2", F.pmod(F.xxhash64("name2"), F.col("turns")).cast("int").alias("turn"))
+    others = dealt.join(blocks.select(F.col("name").alias("name2"), *packed_), "name2").select("name", "turn", F.lit(1).alias("other"), *packed_)
+    turns = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("turns"), F.lit(1)) - 1)).alias("turn")
+    own = blocks.select("name", *packed_).join(partners, "name", "left").select("name", turns, F.lit(0).alias("other"), *packed_)
+    met = own.unionByName(others).repartition("name", "turn").sortWithinPartitions("name", "turn", "other").drop("name")
     found = common.cut(met.mapInArrow(_joined(turn, epsilon, least_cosine, kind), "a long, b long, n long"))
-    counts = found.where("b IS NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    members = known.join(copies, "v").select("id", "rep", "w")
-    edges = found.where("b IS NOT NULL").select("a", "b").unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b")))
-    roots = common.components(edges)
-    linked = members.join(counts, "rep", "left").select("id", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n")).groupBy("id").agg(F.max("n").alias("n"))
+    counts = found.where("b IS NULL").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+    linked = reps.join(counts, "id", "left").select("v", "rep", F.col("w").alias("c"), (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n"))
+    members = common.cut(common.join_per_key(known, linked, ["v"], known.count()).select("id", "rep", "n"))
+    named = reps.select("id", "rep")
+    edges = found.where("b IS NOT NULL").select("a", "b").join(named.select(F.col("id").alias("a"), F.col("rep").alias("u")), "a").join(named.select(F.col("id").alias("b"), F.col("rep").alias("v")), "b")
+    roots = common.components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(members.where("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))))
+    linked = members.groupBy("id").agg(F.max("n").alias("n"))
     out = rows.select("id").join(linked, "id", "left").join(roots, "id", "left")
     root = F.coalesce("root", "id")
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), root.alias("component_id"), F.coalesce(root == F.col("id"), F.lit(True)).alias("kept"))
