@@ -132,6 +132,20 @@ def slices(at: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]
         i = min(j, n)
 
 
+def text_runs(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str]]:
+    """The texts of a column in runs of about `most` characters; null counts as the empty text."""
+    held: list[str] = []
+    n = 0
+    for t in column.to_pylist():
+        held.append(t or "")
+        n += len(held[-1])
+        if n >= most:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def words(data: np.ndarray, at: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words (runs of bytes that are not ASCII white space, A-Z folded) of the texts i..j-1.
 

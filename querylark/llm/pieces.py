@@ -229,20 +229,6 @@ def decode_ids(ids: np.ndarray, v: Vocabulary) -> str:
     return out[1:] if out.startswith(" ") else out
 
 
-def _grouped(column: pa.Array, most: int = 2 * common.SLICE_BYTES) -> Iterator[list[str]]:
-    """Texts of a column in runs of about `most` characters."""
-    held: list[str] = []
-    n = 0
-    for t in pc.fill_null(column, "").to_pylist():
-        held.append(t)
-        n += len(t)
-        if n >= most:
-            yield held
-            held, n = [], 0
-    if held:
-        yield held
-
-
 def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids) for every row."""
     common.prepare(docs.sparkSession)
@@ -250,7 +236,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(path)
         for batch in batches:
-            ids = [x for texts in _grouped(batch.column(1)) for x in encode_texts(texts, v)]
+            ids = [x for texts in common.text_runs(batch.column(1), 2 * common.SLICE_BYTES) for x in encode_texts(texts, v)]
             if ids:
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in ids])]), pa.int32())
                 yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids), pa.int32()))], ["doc_id", "ids"])
@@ -314,8 +300,9 @@ def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = load(MODEL)
         for batch in batches:
-            texts = [t for part in _grouped(batch.column(1)) for t in part]
-            ids = [x for part in _grouped(batch.column(1)) for x in encode_texts(part, v)]
+            parts = list(common.text_runs(batch.column(1), 2 * common.SLICE_BYTES))
+            texts = [t for part in parts for t in part]
+            ids = [x for part in parts for x in encode_texts(part, v)]
             yield pa.record_batch([batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string()), pa.array([decode_ids(x, v) == t if len(x) else t == "" for x, t in zip(ids, texts)], pa.bool_())], ["doc_id", "n_pieces", "ids_sha256", "decoded"])
 
     return docs.mapInArrow(run, "doc_id long, n_pieces long, ids_sha256 string, decoded boolean")
