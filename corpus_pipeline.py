@@ -14,6 +14,10 @@ from pyspark.sql import DataFrame, SparkSession
 from querylark.llm import common, linededup, minhash, packing, pii, quality
 
 
+#: Near copies share this percentage of their five-word shingles at least.
+PERCENT = 80
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, common.read(spark, sf_dir, "labels"))
 
@@ -23,7 +27,7 @@ def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.drop_near_duplicates(docs)
+    return minhash.drop_near_duplicates(docs, percent=PERCENT)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +51,15 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage over the documents of a folder."""
+    """The rows of the last stage over the documents of a folder. What a stage wrote is deleted once the next one is written."""
     docs = common.read(spark, sf_dir, "documents")
     root = f"{common.shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for k, (name, stage) in enumerate(STAGES):
         out = f"{root}/{k}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            common.remove(spark, before)
+        before = out
     return docs
