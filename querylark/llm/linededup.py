@@ -1,6 +1,7 @@
 """Repeated passages by overlapping windows of three lines.
 
-Every run of WINDOW consecutive lines is hashed. The first occurrence of a window is the one with the smallest
+Every run of WINDOW consecutive lines is hashed to 128 bits, from two hashes of every line; that any two different windows
+of 10 ** 13 have the same has a probability of about 10 ** -13. The first occurrence of a window is the one with the smallest
 (doc_id, position); all later ones are repeats. The lines that repeats cover, merged, are removed. A repeat that
 overlaps its own first occurrence (same document, fewer than WINDOW lines on) covers only lines behind it.
 
@@ -8,9 +9,9 @@ Only hashes and positions are shuffled to find repeats; texts move once, to meet
 
 Edge cases: null texts stay null; texts of fewer than WINDOW lines (the empty one too) hold no window and stay as
 they are; lines end at "\\n" alone and are compared as they are; a text whose lines all go becomes empty; rows
-without doc_id and rows of one doc_id that occur again are told apart by their whole content: equal rows count as
-one document and stay both; of differing rows with one id the positions are joined under that id and text; an empty
-table gives an empty result; other columns stay as they are.
+without doc_id stay as they are and are nobody's first occurrence; rows of one doc_id that occur again are told apart by
+their text: equal rows count as one document and stay both; of differing rows with one id the positions are joined under
+that id and text; an empty table gives an empty result; other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,40 +33,47 @@ def covered(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", win
     """(id, key, gone): sorted line positions (from 0) that repeats cover, for each text that has some."""
     common.prepare(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("text").contains("\n"))
-    # Hash each line once, then the windows of hashes.
-    hashed = d.select("id", F.xxhash64("text").alias("key"), F.transform(_lines(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= window)
-    n = F.size("h")
-    windows = F.transform(F.sequence(F.lit(0), n - window), lambda p: F.xxhash64(*[F.get("h", p + k) for k in range(window)], F.get("h", p), F.lit(window)))
-    rows = hashed.select("id", "key", F.posexplode(windows).alias("p", "w"))
-    first = rows.groupBy("w").agg(F.min(F.struct("id", "p", "key")).alias("f"), F.count("*").alias("c")).where("c > 1").select("w", "f")
+    # Hash each line once, twice over, then the windows of hashes.
+    lines = _lines(F.col("text"))
+    hashed = common.cut(d.select("id", F.xxhash64("text").alias("key"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"), F.transform(lines, lambda x: F.xxhash64(F.lit(window), x)).alias("g")).where(F.size("h") >= window))
+    over = lambda c, p: F.xxhash64(*[F.get(c, p + k) for k in range(window)])
+    windows = F.transform(F.sequence(F.lit(0), F.size("h") - window), lambda p: F.struct(over("h", p).alias("w"), over("g", p).alias("w2")))
+    rows = hashed.select("id", "key", F.posexplode(windows).alias("p", "x")).select("id", "key", "p", "x.w", "x.w2")
+    both = ["w", "w2"]
+    first = rows.groupBy(*both).agg(F.min(F.struct("id", "p", "key")).alias("f"), F.count("*").alias("c")).where("c > 1")
     # A repeat of a window in the same document that begins before the first occurrence has ended.
     near = (F.col("f.id") == F.col("id")) & (F.col("f.key") == F.col("key")) & (F.col("p") - F.col("f.p") < window)
     start = F.when(near, F.col("f.p") + window).otherwise(F.col("p"))
-    repeats = rows.join(first, "w").where((F.col("id") != F.col("f.id")) | (F.col("p") != F.col("f.p"))).select("id", "key", start.alias("a"), (F.col("p") + window).alias("b"))
+    n_rows = hashed.agg(F.coalesce(F.sum(F.size("h") - (window - 1)), F.lit(0))).first()[0]
+    repeats = common.join_per_key(rows, first, both, n_rows).where((F.col("id") != F.col("f.id")) | (F.col("p") != F.col("f.p"))).select("id", "key", start.alias("a"), (F.col("p") + window).alias("b"))
     lines = repeats.distinct().select("id", "key", F.explode(F.sequence("a", F.col("b") - 1)).alias("line"))
     return lines.groupBy("id", "key").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """docs with the covered lines removed from text; n_chars, if there is such a column, counts the new text."""
-    return _removed(docs, id_col, text_col, window).drop("__gone")
+    out, gone = _removed(docs, id_col, text_col, window)
+    return out.drop(gone)
 
 
-def _removed(docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    gone = covered(docs, id_col, text_col, window).select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("gone").alias("__gone"))
+def _removed(docs: DataFrame, id_col: str, text_col: str, window: int) -> tuple[DataFrame, str]:
+    """docs after removal, with a column more: the positions that went. And that column's name."""
+    id_, key, hash_, new = (common.fresh(docs, c) for c in ("id_", "key_", "hash_", "new_"))
+    gone = common.fresh(docs, "gone")
+    found = covered(docs, id_col, text_col, window).select(F.col("id").alias(id_), F.col("key").alias(key), F.col("gone").alias(gone))
     text = F.col(text_col)
-    both = docs.withColumn("__xx", F.xxhash64(text)).join(gone, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__xx") == F.col("__key")), "left").drop("__id", "__key", "__xx")
+    both = docs.withColumn(hash_, F.xxhash64(text)).join(found, (F.col(id_col).cast("long") == F.col(id_)) & (F.col(hash_) == F.col(key)), "left").drop(id_, key, hash_)
     lines = _lines(text)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    out = both.withColumn("__new", F.when(F.col("__gone").isNotNull(), F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n")).otherwise(text))
-    cols = [F.col("__new").alias(c) if c == text_col else F.when(F.col("__gone").isNotNull(), F.length("__new")).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
-    return out.select(*cols, "__gone")
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone))
+    out = both.withColumn(new, F.when(F.col(gone).isNotNull(), F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n")).otherwise(text))
+    cols = [F.col(new).alias(c) if c == text_col else F.when(F.col(gone).isNotNull(), F.length(new)).otherwise(F.col(c)).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]
+    return out.select(*cols, gone), gone
 
 
 def op5_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, n_removed, text_md5) of every document after removal."""
-    out = _removed(common.read(spark, sf_dir, "documents"), "doc_id", "text", WINDOW)
-    return out.select("doc_id", F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    out, gone = _removed(common.read(spark, sf_dir, "documents"), "doc_id", "text", WINDOW)
+    return out.select("doc_id", F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 SQL = r"""

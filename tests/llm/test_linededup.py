@@ -31,7 +31,7 @@ def test_equals_sql_and_brute_force(spark):
 
 def test_edges(spark):
     rows = [(1, "a\nb\nc\nd", 8), (2, "x\na\nb\nc\nd\ny", 12), (3, "a\nb\nc\nd", 8), (4, None, 0), (5, "", 0), (6, "z\n" * 9, 18), (7, "a\nb", 3), (8, "q\n" * 40000 + "end", 80003), (None, "a\nb\nc", 5), (1, "a\nb\nc\nd", 8)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumn("gone", F.lit("mine"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long").withColumns({c: F.lit("mine") for c in ("gone", "id_", "key_", "hash_", "new_", "__gone", "w", "p")})
     got = linededup.remove_repeats(docs)
     assert got.columns == docs.columns
     text = sorted(((r.doc_id or -1), r.text, r.n_chars) for r in got.where("doc_id IS NULL OR doc_id <> 4").collect())
