@@ -3,25 +3,29 @@
 Base spans (email, ip, card, phone) are fixed patterns, found leftmost and without overlap within a kind. The field
 adds spans that they miss: secrets, and the same kinds written in other ways. It runs over the runs of tokens
 around anything that a shape of an added span needs: a digit, "@", "=", "[", "at" or "dot" as a word or in brackets, a
-word like "password", or the beginning of a key; a token is a run of non-space characters.
-Candidate segments have at most MAX_TOKENS tokens and are scored as wholes (shape of the span, digits, checksums,
-letters before it); dynamic programming over segment ends picks the boundaries and types with the highest joint
-score. Weights are learned by a structured perceptron on sentences that a fixed generator writes; nothing is read
-from a corpus. Added spans never overlap base spans, which stay as they are.
-
-Edge cases: null texts are empty and have no spans; a long text is scanned in linear time and its field works on
-regions of at most REGION tokens, cut between tokens that can't be part of one span; repeated rows are treated
-alike; rows without doc_id too; an empty table gives an empty result; other columns are not looked at.
+word like "password", or the beginning of a key ("at" only where a domain follows it); a token is a run of non-space characters.
+Candidate segments are all windows of at most MAX_TOKENS tokens, each with every kind. They are scored as wholes: shapes that
+the window has as a whole or lacks, digits, checksums, the word before it, whether a longer one would do; and pairs of
+neighbouring labels have scores, too. Dynamic programming over segment ends picks the boundaries and types with the highest
+joint score. The weights maximise the conditional likelihood (forward-backward sums over all segmentations, limited-memory
+BFGS, a quadratic penalty) of sentences that a fixed generator writes; nothing is read from a corpus. A window without any
+of what starts a run never has a positive score for any kind (tests hold the weights to it), so runs lose nothing.
+Added spans never overlap base spans, which stay as they are.
+
+Edge cases: null texts are empty and have no spans; a long text is scanned in linear time; repeated rows are treated
+alike; rows without doc_id too; runs of more than REGION tokens are decoded in pieces that share MAX_TOKENS tokens, so that
+any span lies whole in one; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import random
 import re
-from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from math import inf
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +109,7 @@ _STOP = re.compile(r"\w\.\s")
 _CUE_WORDS = {w: k for k, ws in _CUES.items() for w in ws}
 _TOKEN = re.compile(r"\S+")
 #: What starts a region: every shape that is allowed below needs one of these.
-_TRIGGER = re.compile(r"[0-9@=\[]|\((?:at|dot)\)|(?<!\S)(?:at|dot)(?!\S)|passw(?:or)?d|pwd|secret|token|api_?key|(?:AKIA|ASIA)[A-Z]{16}|(?:sk|pk|ghp|gho|xox[bap])[-_][a-z_-]{16}|[a-f]{32}", re.I)
+_TRIGGER = re.compile(r"[0-9@=\[]|\((?:at|dot)\)|(?<!\S)at\s+[A-Za-z0-9-]+\s*\.\s*[A-Za-z0-9-]|(?<!\S)dot(?!\S)|passw(?:or)?d|pwd|secret|token|api_?key|(?:AKIA|ASIA)[A-Z]{16}|(?:sk|pk|ghp|gho|xox[bap])[-_][a-z_-]{16}|[a-f]{32}", re.I)
 _TRIM_LEFT, _TRIM_RIGHT = "\"'([{<“«", "\"')]}>.,;:!?”»"
 _SHAPES: dict[str, re.Pattern[str]] = {
     "access_key": re.compile(r"(?:AKIA|ASIA)[A-Z0-9]{16}"),
@@ -121,11 +125,18 @@ _SHAPES: dict[str, re.Pattern[str]] = {
     "date": re.compile(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"),
     "number": re.compile(r"[0-9][0-9.,:]*%?"),
 }
+#: What begins a span of any shape but "none"; few places do.
+_BEGINS = re.compile(
+    r"[0-9(]|AKIA|ASIA|passw|pwd|secret|token|api|(?:sk|pk|ghp|gho|xox[bap])[-_]|[0-9a-f]{32}|[A-Z]{2}[0-9]{2}|[A-Za-z0-9._%+-]+\s*(?:\[at\]|\(at\)|\sat\s)", re.I
+)
+#: Shapes that have white space in them.
+_SPACED = ("assigned_apart", "local_phone", "zero_phone", "spelled_email", "iban")
 #: The longest iban at a place, and what of a spelled email goes on after MAX_TOKENS tokens.
 _WHOLE_IBAN = re.compile(_SHAPES["iban"].pattern + r"(?![A-Za-z0-9])")
 _LABELS = re.compile(r"(?:\s*(?:\[dot\]|\(dot\)|\sdot\s)\s*[A-Za-z0-9-]+)+", re.I)
-#: Kinds that a candidate span may get for its shape to matter; others aren't candidates.
-_ALLOWED = {"access_key": "secret", "assigned": "secret", "assigned_apart": "secret", "prefixed_key": "secret", "hex_run": "secret", "local_phone": "phone", "zero_phone": "phone", "spelled_email": "email", "ssn": "id", "iban": "id"}
+#: Kinds that the field gives, and its labels: outside, then these.
+FIELD = ("email", "phone", "secret", "id")
+_LABELS_OF = len(FIELD) + 1
 
 
 def _iban_ok(s: str) -> bool:
@@ -133,69 +144,241 @@ def _iban_ok(s: str) -> bool:
     return 15 <= len(s) <= 34 and int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
-def features(span: str, before: str, kind: str) -> list[str]:
-    """Whole-span features of a candidate segment of a kind. `before` is the lower-cased word before it."""
-    out = [f"{kind}|bias"]
-    shapes = [n for n, p in _SHAPES.items() if p.fullmatch(span)]
-    out += [f"{kind}|shape={n}" for n in shapes] or [f"{kind}|shape=none"]
-    if _CUE_WORDS.get(before.strip(_TRIM_LEFT + _TRIM_RIGHT + "=")) == kind:
-        out.append(f"{kind}|cue")
-    digits = len(_only_digits(span))
-    out.append(f"{kind}|digits={min(digits, 16) // 2}")
-    if "iban" in shapes:
-        out.append(f"{kind}|iban={_iban_ok(span)}")
-    if span[:1] in "\"'[{<" or span[-1:] in _TRIM_RIGHT:
-        out.append(f"{kind}|ragged")
-    if _STOP.search(span):
-        out.append(f"{kind}|stop")
-    out.append(f"{kind}|tokens={span.count(' ') + 1}")
-    return out
-
-
-def candidates(text: str, tokens: list[tuple[int, int]], k: int, n: int) -> Iterator[tuple[int, int, str]]:
-    """Spans (without the punctuation around them) of tokens k..k+n-1 with the kinds that their shapes allow."""
-    a, b = tokens[k][0], tokens[k + n - 1][1]
-    while a < b and text[a] in _TRIM_LEFT:
+def trimmed(text: str, token: tuple[int, int]) -> tuple[int, int]:
+    """A token's first place that isn't punctuation before a span, and the place behind its last that isn't punctuation behind one."""
+    a, b = token
+    while a < token[1] and text[a] in _TRIM_LEFT:
         a += 1
-    while b > a and text[b - 1] in _TRIM_RIGHT:
+    while b > token[0] and text[b - 1] in _TRIM_RIGHT:
         b -= 1
+    return a, b
+
+
+def window(text: str, tokens: list[tuple[int, int]], k: int, n: int) -> tuple[int, int]:
+    """The span of tokens k..k+n-1 without the punctuation around it; empty if nothing is left."""
+    a, b = trimmed(text, tokens[k])[0], trimmed(text, tokens[k + n - 1])[1]
     if a > tokens[k][0] and text[a - 1] == "(" and ")" in text[a:b]:
         a -= 1
-    if b - a < 6:
-        return
+    return a, b
+
+
+def cue_before(text: str, tokens: list[tuple[int, int]], k: int) -> str | None:
+    """The kind that the word before token k announces."""
+    return _CUE_WORDS.get(text[slice(*tokens[k - 1])].lower().strip(_TRIM_LEFT + _TRIM_RIGHT + "=")) if k else None
+
+
+def shapes_of(text: str, a: int, b: int, n: int) -> list[str]:
+    """Names of the shapes that span (a, b), of n tokens, has as a whole."""
+    if b - a < 6 or not _BEGINS.match(text, a):
+        return []
+    return [x for x in (_SHAPES if n == 1 else _SPACED) if _SHAPES[x].fullmatch(text, a, b)]
+
+
+def features(text: str, tokens: list[tuple[int, int]], k: int, n: int, a: int, b: int) -> list[str]:
+    """Whole-span features of a window with span (a, b)."""
+    shapes, cue = shapes_of(text, a, b, n), cue_before(text, tokens, k)
+    if not shapes:
+        return ["bias", "shape=none", *([f"cue={cue}|none"] if cue else [])]
     span = text[a:b]
-    seen = set()
-    for name, kind in _ALLOWED.items():
-        if kind not in seen and _SHAPES[name].fullmatch(span):
-            if name == "iban" and not _iban_ok(span) and (_iban_ok(span.rpartition(" ")[0]) or (m := _WHOLE_IBAN.match(text, a)) and m.end() > b):
-                continue
-            seen.add(kind)
-            yield a, b, kind
+    out = ["bias", f"tokens={n}", *(f"shape={x}" for x in shapes), *([f"cue={cue}"] if cue else [])]
+    digits = _only_digits(span)
+    out.append(f"digits={min(len(digits), 16) // 2}")
+    if "iban" in shapes:
+        out.append(f"iban={_iban_ok(span)}")
+        if not _iban_ok(span) and (_iban_ok(span.rpartition(" ")[0]) or (m := _WHOLE_IBAN.match(text, a)) and m.end() > b):
+            out.append("iban|other")
+    if "spelled_email" in shapes and k + n < len(tokens) and _LABELS.match(text, b):
+        out.append("email|longer")
+    if span[:1] in "\"'[{<" or span[-1:] in _TRIM_RIGHT:
+        out.append("ragged")
+    if _STOP.search(span):
+        out.append("stop")
+    if 13 <= len(digits) <= 19 and luhn(digits):
+        out.append("luhn")
+    return out
 
 
-def decode(text: str, tokens: list[tuple[int, int]], weight: Callable[[list[str]], float]) -> list[tuple[int, int, Span]]:
-    """The segmentation with the highest score, as (first token, count, span); single tokens outside score 0."""
-    best = [0.0] * (len(tokens) + 1)
-    back: list[tuple[int, Span | None]] = [(0, None)] * (len(tokens) + 1)
+class Field:
+    """Weights: for each feature one a kind of FIELD; for each pair of labels that follow each other one."""
+
+    def __init__(self, names: list[str], weights: np.ndarray, follow: np.ndarray) -> None:
+        self.weights = {x: tuple(w) for x, w in zip(names, weights.tolist())}
+        self.follow: list[list[float]] = follow.tolist()
+        self.none = (0.0,) * len(FIELD)
+        #: Scores of windows without a shape, by the kind that the word before announces.
+        self.shapeless = {cue: self.score(["bias", "shape=none", *([f"cue={cue}|none"] if cue else [])]) for cue in (None, *KINDS)}
+
+    def score(self, names: list[str]) -> tuple[float, ...]:
+        own = [self.weights.get(x, self.none) for x in names]
+        return tuple(map(sum, zip(*own)))
+
+
+def decode(text: str, tokens: list[tuple[int, int]], field: Field) -> list[tuple[int, int, Span]]:
+    """The segmentation with the highest score, as (first token, count, span); of equal ones the one with fewer and shorter segments."""
+    follow, labels = field.follow, range(_LABELS_OF)
+    edges = [trimmed(text, t) for t in tokens]
+    cues = [cue_before(text, tokens, k) for k in range(len(tokens))]
+    begins = [bool(_BEGINS.match(text, a) or a > t[0] and text[a - 1] == "(") for (a, _), t in zip(edges, tokens)]
+    # best[k][y]: the best of the first k tokens whose last segment has label y; enter[k][y]: the same with label y to follow.
+    best = [[0.0, *[-inf] * len(FIELD)]]
+    enter: list[list[tuple[float, int]]] = []
+    back: list[list[tuple[int, int, Span | None]]] = [[(0, 0, None)] * _LABELS_OF]
+    plain: list[list[tuple[float, int]]] = []  # for each k, enter[k][y] with the score of a window without a shape
     for end in range(1, len(tokens) + 1):
-        best[end], back[end] = best[end - 1], (1, None)
+        own = best[end - 1]
+        enter.append([max((own[x] + follow[x][y], -x) for x in labels) for y in labels])
+        none = field.shapeless[cues[end - 1]]
+        plain.append([(s + none[y - 1], x) if y else (s, x) for y, (s, x) in enumerate(enter[-1])])
+        now = [enter[end - 1][0][0], *[-inf] * len(FIELD)]
+        from_ = [(1, -enter[end - 1][0][1], None), *[(0, 0, None)] * len(FIELD)]
+        b = edges[end - 1][1]
         for n in range(1, min(MAX_TOKENS, end) + 1):
             k = end - n
-            before = text[slice(*tokens[k - 1])].lower() if k else ""
-            for a, b, kind in candidates(text, tokens, k, n):
-                s = best[k] + weight(features(text[a:b], before, kind))
-                if s > best[end]:
-                    best[end], back[end] = s, (n, (kind, a, b))
+            a = edges[k][0]
+            if begins[k]:
+                a = window(text, tokens, k, n)[0]
+                if a >= b:
+                    continue
+                scores = field.score(features(text, tokens, k, n, a, b))
+                reached = [(s + scores[y - 1], x) if y else (s, x) for y, (s, x) in enumerate(enter[k])]
+            elif a < b:
+                reached = plain[k]
+            else:
+                continue
+            for y in range(1, _LABELS_OF):
+                if reached[y][0] > now[y]:
+                    now[y], from_[y] = reached[y][0], (n, -reached[y][1], (FIELD[y - 1], a, b))
+        best.append(now)
+        back.append(from_)
     out, end = [], len(tokens)
+    y = max(labels, key=lambda y: (best[end][y], -y))
     while end:
-        n, span = back[end]
+        n, x, span = back[end][y]
         if span:
             out.append((end - n, n, span))
-        end -= n
+        end, y = end - n, x
     return out[::-1]
 
 
-def _generated(seed: int = 11, n: int = 1500) -> Iterator[tuple[str, list[Span]]]:
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    top = np.where(np.isfinite(top), top, 0.0)
+    with np.errstate(divide="ignore"):
+        return np.log(np.exp(x - top).sum(axis)) + top.squeeze(axis)
+
+
+class Likelihood:
+    """Negative conditional log likelihood of sentences and its gradient, by forward-backward sums over all segmentations."""
+
+    def __init__(self, data: list[tuple[str, list[Span]]], penalty: float) -> None:
+        self.penalty = penalty
+        ids: dict[str, int] = {}
+        at: list[tuple[int, int, int]] = []
+        flat: list[int] = []
+        sizes: list[int] = []
+        gold: list[list[float]] = []
+        self.length: list[int] = []
+        follow = np.zeros((_LABELS_OF, _LABELS_OF))
+        for text, spans in data:
+            tokens = [m.span() for m in _TOKEN.finditer(text)]
+            wanted = {(a, b): FIELD.index(kind) for kind, a, b in spans}
+            found: dict[int, tuple[int, int]] = {}
+            rows = []
+            for end in range(1, len(tokens) + 1):
+                for n in range(1, min(MAX_TOKENS, end) + 1):
+                    a, b = window(text, tokens, end - n, n)
+                    if a < b:
+                        kind = wanted.get((a, b))
+                        rows.append((end, n, features(text, tokens, end - n, n, a, b), kind))
+                        if kind is not None:
+                            found[end - n] = n, kind + 1
+            if len(found) != len(spans):
+                continue  # a span that no window has
+            s = len(self.length)
+            self.length.append(len(tokens))
+            for end, n, names, kind in rows:
+                at.append((s, end, n))
+                flat += [ids.setdefault(x, len(ids)) for x in names]
+                sizes.append(len(names))
+                gold.append([float(kind == y) for y in range(len(FIELD))])
+            k, y = 0, 0
+            while k < len(tokens):
+                n, z = found.get(k, (1, 0))
+                follow[y, z] += 1
+                k, y = k + n, z
+        self.names = list(ids)
+        self.at, self.flat, self.gold, self.gold_follow = np.array(at), np.array(flat), np.array(gold), follow
+        self.first, self.row = np.concatenate([[0], np.cumsum(sizes)[:-1]]), np.repeat(np.arange(len(sizes)), sizes)
+        self.ends = np.array(self.length)
+
+    def __call__(self, v: np.ndarray) -> tuple[float, np.ndarray]:
+        kinds, labels, most = len(FIELD), _LABELS_OF, MAX_TOKENS
+        f = len(self.names)
+        w, follow = v[: f * kinds].reshape(f, kinds), v[f * kinds :].reshape(labels, labels)
+        score = np.add.reduceat(w[self.flat], self.first, axis=0)
+        s, e, n = self.at.T
+        count, t = len(self.ends), int(self.ends.max())
+        phi = np.full((count, t + 1, most + 1, kinds), -np.inf)
+        phi[s, e, n] = score
+        alpha, enter = np.full((count, t + 1, labels), -np.inf), np.full((count, t + 1, labels), -np.inf)
+        alpha[:, 0, 0] = 0
+        for k in range(t + 1):
+            if k:
+                alpha[:, k, 0] = enter[:, k - 1, 0]
+                m = min(most, k)
+                alpha[:, k, 1:] = _log_sum(enter[:, k - m : k, 1:][:, ::-1] + phi[:, k, 1 : m + 1], 1)
+            enter[:, k] = _log_sum(alpha[:, k, :, None] + follow[None], 1)
+        rows = np.arange(count)
+        z = _log_sum(alpha[rows, self.ends], 1)
+        beta, leave = np.full((count, t + 1, labels), -np.inf), np.full((count, t + 1, labels), -np.inf)
+        for k in range(t, -1, -1):
+            m = min(most, t - k)
+            if m:
+                leave[:, k, 0] = beta[:, k + 1, 0]
+                steps = np.arange(1, m + 1)
+                leave[:, k, 1:] = _log_sum(phi[:, k + steps, steps] + beta[:, k + steps, 1:], 1)
+                beta[:, k] = _log_sum(follow[None] + leave[:, k, None, :], 2)
+            beta[self.ends == k, k] = 0
+        inside = np.exp(enter[s, e - n, 1:] + score + beta[s, e, 1:] - z[s][:, None])
+        gap = inside - self.gold
+        grad = np.stack([np.bincount(self.flat, weights=gap[self.row, y], minlength=f) for y in range(kinds)], 1)
+        with np.errstate(invalid="ignore"):
+            turns = np.exp(alpha[:, :, :, None] + follow[None, None] + leave[:, :, None, :] - z[:, None, None, None])
+        turns = np.where(np.arange(t + 1)[None, :, None, None] < self.ends[:, None, None, None], np.nan_to_num(turns), 0.0).sum((0, 1))
+        value = z.sum() - (score * self.gold).sum() - (follow * self.gold_follow).sum()
+        return float(value + self.penalty * (v @ v) / 2), np.concatenate([grad.ravel(), (turns - self.gold_follow).ravel()]) + self.penalty * v
+
+
+def minimise(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, memory: int = 8) -> np.ndarray:
+    """Limited-memory BFGS with halved steps."""
+    value, grad = f(x)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        q, used = grad.copy(), []
+        for d, g in reversed(past):
+            r = (d @ q) / (d @ g)
+            used.append(r)
+            q -= r * g
+        q *= (past[-1][0] @ past[-1][1]) / (past[-1][1] @ past[-1][1]) if past else 1 / max(1.0, float(np.abs(grad).sum()))
+        for (d, g), r in zip(past, reversed(used)):
+            q += d * (r - (g @ q) / (d @ g))
+        step, slope = 1.0, float(grad @ q)
+        while True:
+            new, new_grad = f(x - step * q)
+            if new <= value - 1e-4 * step * slope or step < 1e-6:
+                break
+            step /= 2
+        d, g = -step * q, new_grad - grad
+        if d @ g > 1e-10:
+            past = [*past, (d, g)][-memory:]
+        done = value - new < 1e-4 * max(1.0, abs(new))
+        x, value, grad = x - step * q, new, new_grad
+        if done:
+            break
+    return x
+
+
+def _generated(seed: int = 11, n: int = 300) -> Iterator[tuple[str, list[Span]]]:
     """Sentences with known spans, and with numbers, dates, versions and digests of files that are none."""
     r = random.Random(seed)
     pick = lambda chars, k: "".join(r.choice(chars) for _ in range(k))
@@ -222,7 +405,7 @@ def _generated(seed: int = 11, n: int = 1500) -> Iterator[tuple[str, list[Span]]
     ]
     none: list[Callable[[], str]] = [
         lambda: str(r.randrange(10**9)), lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02}-{r.randrange(1, 29):02}", lambda: f"v{r.randrange(9)}.{r.randrange(20)}.{r.randrange(50)}",
-        lambda: f"{r.randrange(100)}.{r.randrange(100)}%", lambda: f"sha256 {pick(hexa, 64)}", lambda: f"commit {pick(hexa, 40)}", lambda: "password policy", lambda: f"x={r.randrange(99)}", lambda: f"{word()} at {word()} dot",
+        lambda: f"{r.randrange(100)}.{r.randrange(100)}%", lambda: f"sha256 {pick(hexa, 64)}", lambda: f"commit {pick(hexa, 40)}", lambda: "password policy", lambda: f"x={r.randrange(99)}", lambda: f"{word()} at {word()} dot.",
     ]
     more: list[Callable[[], tuple[str, str, str]]] = [
         lambda: (r.choice(["mail ", ""]), "email", f"{word()} at {word()} dot {r.choice(['com', 'org', 'net'])}"),
@@ -254,24 +437,12 @@ def _generated(seed: int = 11, n: int = 1500) -> Iterator[tuple[str, list[Span]]
 
 
 @lru_cache(maxsize=1)
-def trained(epochs: int = 4) -> dict[str, float]:
-    """Averaged structured perceptron over the generated sentences."""
-    w: dict[str, float] = defaultdict(float)
-    total: dict[str, float] = defaultdict(float)
-    step = 1
-    data = list(_generated())
-    for _ in range(epochs):
-        for text, gold in data:
-            tokens = [m.span() for m in _TOKEN.finditer(text)]
-            guess = {s for _, _, s in decode(text, tokens, lambda f: sum(w.get(x, 0.0) for x in f))}
-            for spans, sign in ((set(gold) - guess, 1.0), (guess - set(gold), -1.0)):
-                for kind, a, b in spans:
-                    before = text[:a].split()[-1].lower() if text[:a].split() and text[a - 1].isspace() else ""
-                    for x in features(text[a:b], before, kind):
-                        w[x] += sign
-                        total[x] += sign * step
-            step += 1
-    return {x: v - total[x] / step for x, v in w.items() if v - total[x] / step}
+def trained(penalty: float = 0.02, steps: int = 40) -> Field:
+    """The field of the generated sentences."""
+    f = Likelihood(list(_generated()), penalty)
+    n = len(f.names) * len(FIELD)
+    v = minimise(f, np.zeros(n + _LABELS_OF**2), steps)
+    return Field(f.names, v[:n].reshape(-1, len(FIELD)), v[n:].reshape(_LABELS_OF, _LABELS_OF))
 
 
 def regions(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -305,14 +476,14 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         yield run
 
 
-def all_spans(text: str, weights: dict[str, float]) -> tuple[list[Span], list[Span]]:
+def all_spans(text: str, field: Field) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans) of a text; ordered by start, then kind."""
     if not _TRIGGER.search(text):
         return [], []
     base = base_spans(text)
     more: set[Span] = set()
     for tokens in regions(text):
-        for _, _, (kind, a, b) in decode(text, tokens, lambda f: sum(weights.get(x, 0.0) for x in f)):
+        for _, _, (kind, a, b) in decode(text, tokens, field):
             if kind == "email" and (m := _LABELS.match(text, b)):
                 b = m.end()
             more.add((kind, a, b))
@@ -335,13 +506,13 @@ def _joined(spans: list[Span]) -> str:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, base, spans) for every row: the base spans and all spans as joined strings."""
     common.prepare(docs.sparkSession)
-    weights = trained()
+    field = trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             base, full = [], []
             for t in pc.fill_null(batch.column(1), ""):
-                a, b = all_spans(t.as_py(), weights)
+                a, b = all_spans(t.as_py(), field)
                 base.append(_joined(a))
                 full.append(_joined(b))
             yield pa.record_batch([batch.column(0), pa.array(base, pa.string()), pa.array(full, pa.string())], ["doc_id", "base", "spans"])
@@ -362,13 +533,13 @@ def redacted(text: str, spans: list[Span]) -> str:
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with personal data in text replaced; n_chars, if there is such a column, counts the new text."""
     common.prepare(docs.sparkSession)
-    weights = trained()
+    field = trained()
     schema = docs.schema
     at = schema.fieldNames().index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = [None if (t := x.as_py()) is None else redacted(t, s) if (s := all_spans(t, weights)[1]) else t for x in batch.column(at)]
+            new = [None if (t := x.as_py()) is None else redacted(t, s) if (s := all_spans(t, field)[1]) else t for x in batch.column(at)]
             columns = list(batch.columns)
             columns[at] = pa.array(new, batch.schema.field(at).type)
             names = schema.fieldNames()
