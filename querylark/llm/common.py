@@ -315,9 +315,11 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], total: in
     Keys with more than one in HOT of the rows are hot; there can't be more than HOT of them, so they are broadcast and
     their rows stay where they are. No task of the other join gets more than that share through one key.
     """
-    hot = cut(per_key.where(F.col("c") * HOT > total))
-    if hot.isEmpty():
+    hot = per_key.where(F.col("c") * HOT > total)
+    found = hot.collect()  # HOT rows at most
+    if not found:
         return rows.join(per_key, keys)
+    hot = rows.sparkSession.createDataFrame(found, hot.schema)
     rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
     return rest.join(per_key.where(F.col("c") * HOT <= total), keys).unionByName(rows.join(F.broadcast(hot), keys))
 
