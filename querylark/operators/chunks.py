@@ -44,11 +44,12 @@ def primary(prop: Column) -> Column:
     return out
 
 
-def score(prop: Column, type_: Column, token_array: Column, kws: Column) -> Column:
+def score(prop: Column, type_: Column, token_array: Column, kws: Column, boosts: tuple[float, float, float, float] = (KEYWORD, PRIMARY, SECONDARY, PREFERRED)) -> Column:
     """3 for each keyword in the passage; and for its type: 10, if it is the property's own, 6 for a LOCATION where a
     definition is asked for, 1 for another preferred one."""
-    by_type = F.when(type_ == primary(prop), PRIMARY).when((prop == "DEFINITION") & (type_ == "LOCATION"), SECONDARY).when(F.array_contains(preferred(prop), type_), PREFERRED).otherwise(0.0)
-    return T.hits(token_array, kws) * KEYWORD + by_type
+    keyword, own, place, other = boosts
+    by_type = F.when(type_ == primary(prop), own).when((prop == "DEFINITION") & (type_ == "LOCATION"), place).when(F.array_contains(preferred(prop), type_), other).otherwise(0.0)
+    return T.hits(token_array, kws) * keyword + by_type
 
 
 def ends_open(c: Column | str) -> Column:
@@ -56,14 +57,14 @@ def ends_open(c: Column | str) -> Column:
     return F.rlike(T.col(c), F.lit(r":[ \t\r\n]*\z"))
 
 
-def selected(pieces: DataFrame, per_doc: int = PER_DOC, keys: tuple[str, ...] = ("need_id",)) -> DataFrame:
+def selected(pieces: DataFrame, per_doc: int = PER_DOC, keys: tuple[str, ...] = ("need_id",), boosts: tuple[float, float, float, float] = (KEYWORD, PRIMARY, SECONDARY, PREFERRED)) -> DataFrame:
     """The best passages of each document for each need, with sel_ord from 1, and passages that go on from them.
 
     pieces: (keys, doc_id, chunk_id, text, type, property, keywords). Where a chosen one ends in a colon, the next
     passage follows behind all chosen ones.
     """
     by = Window.partitionBy(*keys, "doc_id")
-    s = pieces.withColumn("tokens", T.tokens("text")).withColumn("chunk_score", score(F.col("property"), F.col("type"), F.col("tokens"), F.col("keywords"))).drop("tokens")
+    s = pieces.withColumn("tokens", T.tokens("text")).withColumn("chunk_score", score(F.col("property"), F.col("type"), F.col("tokens"), F.col("keywords"), boosts)).drop("tokens")
     ranked = s.withColumn("sel_ord", F.row_number().over(by.orderBy(F.desc("chunk_score"), "chunk_id"))).withColumn("chosen", F.col("sel_ord") <= per_doc)
     goes_on = F.lag(F.col("chosen") & ends_open("text"), 1, False).over(by.orderBy("chunk_id"))
     kept = ranked.withColumn("goes_on", goes_on).where("chosen OR goes_on")

@@ -62,16 +62,21 @@ def coverage(evidence: DataFrame, key: str = "need_id", whole_words: bool = Fals
     return k.groupBy(key).agg((F.countDistinct(F.when(found, F.col("w"))) / F.max("n")).alias("coverage"))
 
 
-def volume(n: Column) -> Column:
-    return F.least(F.lit(1.0), n / 3.0)
+def volume(n: Column, enough: float = 3.0) -> Column:
+    return F.least(F.lit(1.0), n / F.lit(enough))
 
 
 def basic_confidence(cov: Column, mean_score: Column, n: Column) -> Column:
     return cov * 0.4 + F.least(F.lit(1.0), mean_score) * 0.3 + volume(n) * 0.3
 
 
-def refined_confidence(cov: Column, n: Column, agreed: Column, penalty: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cov * 0.3 + volume(n) * 0.2 + agreed * 0.3 + (1.0 - penalty) * 0.2))
+#: Shares of coverage, volume, agreement and absence of contradictions.
+CONFIDENCE = (0.3, 0.2, 0.3, 0.2)
+
+
+def refined_confidence(cov: Column, n: Column, agreed: Column, penalty: Column, weights: tuple[float, float, float, float] = CONFIDENCE, enough: float = 3.0) -> Column:
+    wc, wv, wa, wp = weights
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cov * wc + volume(n, enough) * wv + agreed * wa + (1.0 - penalty) * wp))
 
 
 def signal_share(text: Column | str, prop: Column) -> Column:
@@ -82,7 +87,7 @@ def signal_share(text: Column | str, prop: Column) -> Column:
     return out
 
 
-def validated(text: Column, prop: Column, confidence: Column) -> Column:
+def validated(text: Column, prop: Column, confidence: Column, fail: float = 0.0, weak_share: float = 0.15, fail_factor: float = 0.3, weak_factor: float = 0.7) -> Column:
     """(validated, confidence, note) of an answer."""
     missing = (F.length(text) == 0) | text.contains("not found")
     share = signal_share(text, prop)
@@ -90,16 +95,16 @@ def validated(text: Column, prop: Column, confidence: Column) -> Column:
     weak = F.concat(F.lit("Weak property match ("), F.format_number(share * 100, 0), F.lit("% of signals)."))
     return (
         F.when(missing, make(False, F.least(confidence, F.lit(0.1)), F.lit("No relevant content found for this property.")))
-        .when(share <= 0.0, make(False, confidence * 0.3, F.concat(F.lit("Answer does not appear to address "), prop, F.lit(" (0 signal words found)."))))
-        .when(share < 0.15, make(True, confidence * 0.7, weak))
+        .when(share <= fail, make(False, confidence * fail_factor, F.concat(F.lit("Answer does not appear to address "), prop, F.lit(" (0 signal words found)."))))
+        .when(share < weak_share, make(True, confidence * weak_factor, weak))
         .otherwise(make(True, confidence, F.lit("")))
     )
 
 
-def compression(scope: Column, confidence: Column, agreed: Column, n: Column) -> Column:
+def compression(scope: Column, confidence: Column, agreed: Column, n: Column, least_confidence: float = 0.6, least_agreement: float = 0.6) -> Column:
     high = (confidence >= 0.85) & (agreed >= 0.7)
     return (
-        F.when((confidence < 0.6) | (agreed < 0.6) | (scope == "STRICT"), "NONE")
+        F.when((confidence < least_confidence) | (agreed < least_agreement) | (scope == "STRICT"), "NONE")
         .when((n >= 4) & (confidence >= 0.9), "STRONG")
         .when((scope == "NORMAL") & high, "STRONG")
         .when((scope == "EXPANDED") & high, "LIGHT")
@@ -113,12 +118,12 @@ def compressed(text: Column | str, level: Column) -> Column:
     return F.when((level == "STRONG") & (F.size(s) > 0), F.get(s, F.lit(0))).when((level == "LIGHT") & (F.size(s) > 2), F.array_join(F.slice(s, 1, 2), " ")).otherwise(t)
 
 
-def adjusted_scope(scope: Column, confidence: Column) -> Column:
-    return F.when((confidence > 0.85) & (scope == "NORMAL"), "STRICT").when((confidence < 0.5) & (scope == "STRICT"), "NORMAL").otherwise(scope)
+def adjusted_scope(scope: Column, confidence: Column, high: float = 0.85, low: float = 0.5) -> Column:
+    return F.when((confidence > high) & (scope == "NORMAL"), "STRICT").when((confidence < low) & (scope == "STRICT"), "NORMAL").otherwise(scope)
 
 
-def most_chars(scope: Column) -> Column:
-    return F.when(scope == "STRICT", 200).when(scope == "EXPANDED", 700).otherwise(400)
+def most_chars(scope: Column, strict: int = 200, normal: int = 400, wide: int = 700) -> Column:
+    return F.when(scope == "STRICT", strict).when(scope == "EXPANDED", wide).otherwise(normal)
 
 
 def most_segments(scope: Column) -> Column:

@@ -20,24 +20,24 @@ def _scaled(score: Column, key: str) -> Column:
     return F.when(best > 0, score / best).otherwise(0.0)
 
 
-def reranked(lexical: DataFrame, near: DataFrame | None, key: str = "qid") -> DataFrame:
+def reranked(lexical: DataFrame, near: DataFrame | None, key: str = "qid", shares: tuple[float, float] = (LEXICAL, SEMANTIC)) -> DataFrame:
     """(key, doc_id, score): lexical hits alone, scaled; those that `near` (key, doc_id, dot) has, too, get its share.
 
     Without vectors the lexical scores stay as they are.
     """
     if near is None:
         return lexical.select(key, "doc_id", "score")
-    base = LEXICAL * _scaled(F.col("score"), key)
+    base = shares[0] * _scaled(F.col("score"), key)
     met = lexical.select(key, "doc_id", base.alias("base")).join(near.select(key, "doc_id", "dot"), [key, "doc_id"], "left")
-    return met.select(key, "doc_id", (F.col("base") + F.coalesce(SEMANTIC * vectors.unit_score(F.col("dot")), F.lit(0.0))).alias("score"))
+    return met.select(key, "doc_id", (F.col("base") + F.coalesce(shares[1] * vectors.unit_score(F.col("dot")), F.lit(0.0))).alias("score"))
 
 
-def united(lexical: DataFrame, near: DataFrame, key: str = "qid") -> DataFrame:
+def united(lexical: DataFrame, near: DataFrame, key: str = "qid", shares: tuple[float, float] = (LEXICAL, SEMANTIC)) -> DataFrame:
     """(key, doc_id, score) of documents in either; a missing side counts as score 0 or dot 0, negative dots as 0."""
     base = lexical.select(key, "doc_id", _scaled(F.col("score"), key).alias("base"))
     met = base.join(near.select(key, "doc_id", "dot"), [key, "doc_id"], "full")
     dot = F.greatest(F.lit(0.0), F.coalesce("dot", F.lit(0.0)))
-    return met.select(key, "doc_id", (LEXICAL * F.coalesce("base", F.lit(0.0)) + SEMANTIC * vectors.unit_score(dot)).alias("score"))
+    return met.select(key, "doc_id", (shares[0] * F.coalesce("base", F.lit(0.0)) + shares[1] * vectors.unit_score(dot)).alias("score"))
 
 
 def ranked(scores: DataFrame, k: int, key: str = "qid") -> DataFrame:
@@ -60,18 +60,25 @@ class Retriever:
     fallback: Callable[[DataFrame], DataFrame] | None = None
 
 
-def retriever(option: str, index: Index, doc_vectors: DataFrame | None = None, embed_queries: Callable[[DataFrame], DataFrame] | None = None, k: int = 10) -> Retriever:
+def near_documents(doc_vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(qid, doc_id, dot): the k documents nearest to each of asked(qid, q)."""
+    found = vectors.nearest(doc_vectors, asked, k, "dot")
+    return found.select("qid", F.col("vec_id").alias("doc_id"), F.col("score").alias("dot"))
+
+
+def retriever(option: str, index: Index, doc_vectors: DataFrame | None = None, embed_queries: Callable[[DataFrame], DataFrame] | None = None, k: int = 10, top_k: int | None = None, k1: float = ranking.K1, b: float = ranking.B, shares: tuple[float, float] = (LEXICAL, SEMANTIC)) -> Retriever:
     """bm25, hnsw (nearest vectors, exact here) or hybrid. doc_vectors(vec_id, embedding) has vec_id = doc_id;
-    embed_queries takes wanted(qid, term) to (qid, q). Without vectors hybrid is bm25."""
-    lexical = lambda wanted: ranking.bm25_batch(index, wanted, k)
+    embed_queries takes wanted(qid, term) to (qid, q). Without vectors hybrid is bm25. BM25 gives top_k documents (k, if
+    None), of which k stay."""
+    best = lambda wanted: ranking.bm25_batch(index, wanted, top_k or k, k1=k1, b=b)
+    lexical = lambda wanted: best(wanted).where(F.col("rk") <= k)
     if option == "bm25":
         return Retriever("bm25", lexical)
     if option not in ("hnsw", "hybrid"):
         raise ValueError(f"unknown retriever: {option}")
 
     def near(wanted: DataFrame) -> DataFrame:
-        found = vectors.nearest(doc_vectors, embed_queries(wanted), k, "dot")
-        return found.select("qid", F.col("vec_id").alias("doc_id"), F.col("score").alias("dot"))
+        return near_documents(doc_vectors, embed_queries(wanted), k)
 
     if doc_vectors is None or embed_queries is None:
         if option == "hnsw":
@@ -79,4 +86,4 @@ def retriever(option: str, index: Index, doc_vectors: DataFrame | None = None, e
         return Retriever("hybrid", lexical, lexical)
     if option == "hnsw":
         return Retriever("hnsw", lambda w: ranked(near(w).select("qid", "doc_id", vectors.unit_score(F.col("dot")).alias("score")), k))
-    return Retriever("hybrid", lambda w: ranked(reranked(lexical(w), near(w)), k), lexical)
+    return Retriever("hybrid", lambda w: ranked(reranked(best(w), near(w), shares=shares), k), lexical)

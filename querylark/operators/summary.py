@@ -57,7 +57,6 @@ def summaries(ranked: DataFrame, docs: DataFrame, wanted: DataFrame, key: str =
     """(key, summary) for ranked(key, doc_id, score, rk) and wanted(key, keywords); a query without keywords has none."""
     texts = chosen_docs(ranked, key).join(docs.select("doc_id", "text"), "doc_id").join(wanted.select(key, "keywords"), key)
     s = scored_sentences(texts, key)
-    # No more than the best SENTENCES of a document can be chosen, but repeated ones fall away: keep some more.
-    best = s.withColumn("k", F.row_number().over(Window.partitionBy(key, "rk").orderBy(F.desc("score"), "sent_ord"))).where(F.col("k") <= 20 * SENTENCES)
-    listed = best.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rk", "k", "sentence"))).alias("rows"))
+    # All scored sentences of a query's few documents: how many fall away as repeated ones isn't known before.
+    listed = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rk", (-F.col("score")).alias("k"), "sent_ord", "sentence"))).alias("rows"))
     return wanted.select(key).distinct().join(listed.select(key, _picked("rows").alias("summary")), key, "left").select(key, F.coalesce("summary", F.lit(NONE)).alias("summary"))

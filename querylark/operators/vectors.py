@@ -36,9 +36,9 @@ def normalized(v: Column) -> Column:
 QUERY_BLOCK, SHARD = 1024, 16384
 
 
-def _packed(df: DataFrame, name: str, id_col: str, vector: str, size: int) -> tuple[DataFrame, int]:
-    """(name, ids, vs): rows dealt by a hash into packs of about `size`; and how many packs there are."""
-    packs = max(1, -(-df.count() // size))
+def _packed(df: DataFrame, name: str, id_col: str, vector: str, size: int, least: int = 1) -> tuple[DataFrame, int]:
+    """(name, ids, vs): rows dealt by a hash into `least` packs or more, of about `size` at most; and how many packs there are."""
+    packs = max(1, -(-df.count() // size), least)
     key = F.pmod(F.xxhash64(id_col), F.lit(packs)).cast("int").alias(name)
     listed = df.where(F.col(vector).isNotNull()).select(key, F.struct(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v")).alias("r")).groupBy(name).agg(F.collect_list("r").alias("r"))
     return listed.select(name, F.col("r.id").alias(f"{name}_ids"), F.col("r.v").alias(f"{name}_vs")), packs
@@ -47,13 +47,14 @@ def _packed(df: DataFrame, name: str, id_col: str, vector: str, size: int) -> tu
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: str = "l2") -> DataFrame:
     """(qid, vec_id, score, rk): the exact k nearest of vectors(vec_id, embedding) for queries(qid, q).
 
-    Blocks of queries meet shards of vectors by an equi-join; a task keeps k for each query, so that k rows for each
-    query and shard are shuffled, not all distances. by: "l2" (squared distance, smallest first) or "dot" (largest first).
+    Blocks of queries are sent to each shard of vectors, by an equi-join on the shard, so that vectors are shuffled once
+    and no key has more than one shard; a task keeps k for each query, so that k rows for each query and shard are
+    shuffled, not all distances. Scores are rounded to six places, ties go to the smaller id. by: "l2" (squared distance, smallest first) or "dot" (largest first).
     """
     sign = 1.0 if by == "l2" else -1.0
-    asked, blocks = _packed(queries, "block", "qid", "q", QUERY_BLOCK)
-    shards, _ = _packed(vectors, "shard", "vec_id", "embedding", SHARD)
-    met = shards.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(asked, "block").repartition("block", "shard")
+    asked, _ = _packed(queries, "block", "qid", "q", QUERY_BLOCK)
+    shards, n = _packed(vectors, "shard", "vec_id", "embedding", SHARD, vectors.sparkSession.sparkContext.defaultParallelism)
+    met = shards.join(asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), "shard")
 
     def run(batches):
         for pdf in batches:

@@ -7,6 +7,7 @@ Evidence is written once (checkpoint) because the answer, its confidence and its
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,12 +44,12 @@ def understood(queries: DataFrame, memory: DataFrame | None = None, brief: bool
     return plan.withColumn("need_id", need_id())
 
 
-def evidence_for(wanted: DataFrame, ranked: DataFrame, docs: DataFrame, per_doc: int, most: int, merge: bool = True) -> DataFrame:
+def evidence_for(wanted: DataFrame, ranked: DataFrame, docs: DataFrame, per_doc: int, most: int, merge: bool = True, config: Config = Config()) -> DataFrame:
     """(need_id, ev_ord, doc_id, type, text, score, keywords) for wanted needs and ranked(need_id, doc_id, score, rk)."""
     # Documents are cut once, however many needs found them.
-    found = chunks.chunks(docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi"))
+    found = chunks.chunks(docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi"), config.least_chunk)
     pieces = ranked.join(found, "doc_id").join(wanted.select("need_id", "property", "keywords"), "need_id")
-    chosen = chunks.selected(pieces, per_doc)
+    chosen = chunks.selected(pieces, per_doc, boosts=(config.keyword_boost, config.own_type_boost, config.place_boost, config.preferred_boost))
     chosen = chunks.merged(chosen, pieces) if merge else chosen
     return chunks.capped(chosen, most).select("need_id", "ev_ord", "doc_id", "type", "text", "score", "keywords")
 
@@ -58,7 +59,7 @@ def _retrieved(wanted: DataFrame, search) -> DataFrame:
     return search(terms).select(F.col("qid").alias("need_id"), "doc_id", "score", "rk")
 
 
-def _judged(wanted: DataFrame, ev: DataFrame, with_refined: bool) -> DataFrame:
+def _judged(wanted: DataFrame, ev: DataFrame, with_refined: bool, config: Config) -> DataFrame:
     """needs with answer, confidence, agreement, n_evidence, counts of pairs."""
     text = synthesis.answered(wanted, ev)
     a = evidence.analysis(ev)
@@ -66,25 +67,31 @@ def _judged(wanted: DataFrame, ev: DataFrame, with_refined: bool) -> DataFrame:
     mean = ev.groupBy("need_id").agg(F.avg("score").alias("mean_score"))
     met = wanted.join(text, "need_id").join(a, "need_id", "left").join(cov, "need_id", "left").join(mean, "need_id", "left")
     n = F.coalesce("n_evidence", F.lit(0))
-    c = evidence.refined_confidence(F.col("coverage"), n, F.col("agreement"), F.col("penalty")) if with_refined else evidence.basic_confidence(F.col("coverage"), F.col("mean_score"), n)
+    c = evidence.refined_confidence(F.col("coverage"), n, F.col("agreement"), F.col("penalty"), (config.coverage_share, config.volume_share, config.agreement_share, config.penalty_share), config.enough_evidence) if with_refined else evidence.basic_confidence(F.col("coverage"), F.col("mean_score"), n)
     empty = (n == 0) | (F.size("keywords") == 0)
     return met.select(*wanted.columns, "answer", F.when(empty, 0.0).otherwise(F.coalesce(c, F.lit(0.0))).alias("confidence"), F.coalesce("agreement", F.lit(0.5)).alias("agreement"), n.alias("n_evidence"), F.coalesce("contradiction_pairs", F.lit(0)).alias("contradictions"), F.coalesce("agreement_pairs", F.lit(0)).alias("agreements"))
 
 
+def retriever_of(config: Config, index: Index, doc_vectors: DataFrame | None = None, embed_queries: Callable[[DataFrame], DataFrame] | None = None) -> Retriever:
+    """The retriever that settings name, over an index and, where there are some, its vectors."""
+    return retriever(config.retriever, index, doc_vectors, embed_queries, config.max_ranked_docs, config.top_k, config.k1, config.b, (config.lexical_share, config.semantic_share))
+
+
 def ask(index: Index, queries: DataFrame, config: Config = Config(), by: Retriever | None = None, memory: DataFrame | None = None, brief: bool = False, detailed: bool = False) -> DataFrame:
     """One row a need of queries(qid, query), in plan_ord: answer, confidence, sources, validation, compression, context.
 
     The result has support needs, too; where(~is_support) is what a user sees.
     """
-    by = by or retriever(config.retriever, index, k=config.max_ranked_docs)
+    by = by or retriever_of(config, index)
     plan = _cut(understood(queries, memory, brief, detailed))
-    ev = _cut(evidence_for(plan, _retrieved(plan, by.search), index.docs, config.chunks_per_doc, config.max_evidence))
-    judged = _judged(plan, ev, True)
-    level = evidence.compression(F.col("scope"), F.col("confidence"), F.col("agreement"), F.col("n_evidence"))
+    ev = _cut(evidence_for(plan, _retrieved(plan, by.search), index.docs, config.chunks_per_doc, config.max_evidence, config=config))
+    judged = _judged(plan, ev, True, config)
+    level = evidence.compression(F.col("scope"), F.col("confidence"), F.col("agreement"), F.col("n_evidence"), config.compressed_confidence, config.compressed_agreement)
     note = F.when(F.col("contradictions") > 0, F.concat(F.col("contradictions").cast("string"), F.lit(" contradiction(s) detected."), F.when(F.col("agreements") > 0, F.concat(F.lit(" "), F.col("agreements").cast("string"), F.lit(" agreement(s)."))).otherwise("")))
     short = judged.withColumn("compression", level).withColumn("pair_note", note).withColumn("answer", evidence.compressed("answer", F.col("compression")))
-    short = short.withColumn("scope", evidence.adjusted_scope(F.col("scope"), F.col("confidence"))).withColumn("answer", T.truncated("answer", evidence.most_chars(F.col("scope"))))
-    checked = short.withColumn("v", evidence.validated(F.col("answer"), F.col("property"), F.col("confidence")))
+    short = short.withColumn("scope", evidence.adjusted_scope(F.col("scope"), F.col("confidence"), config.high_confidence, config.low_confidence)).withColumn("answer", T.truncated("answer", evidence.most_chars(F.col("scope"), config.strict_chars, config.normal_chars, config.expanded_chars)))
+    valid = lambda: evidence.validated(F.col("answer"), F.col("property"), F.col("confidence"), config.signals_fail, config.signals_weak, config.fail_factor, config.weak_factor)
+    checked = short.withColumn("v", valid())
     supports = needs.support_needs(plan).withColumn("need_id", need_id())
     cov = evidence.support_coverage(supports, ev, ["need_id"])
     met = checked.join(cov, "need_id", "left")
@@ -97,9 +104,9 @@ def ask(index: Index, queries: DataFrame, config: Config = Config(), by: Retriev
     if by.fallback is not None:
         first = _cut(out)
         failed = first.where("NOT validated").select(*plan.columns)
-        again = evidence_for(failed, _retrieved(failed, by.fallback), index.docs, 5, config.max_evidence, merge=False)
+        again = evidence_for(failed, _retrieved(failed, by.fallback), index.docs, 5, config.max_evidence, merge=False, config=config)
         again = _cut(again)
-        retry = _judged(failed, again, False).withColumn("v", evidence.validated(F.col("answer"), F.col("property"), F.col("confidence")))
+        retry = _judged(failed, again, False, config).withColumn("v", valid())
         retry = retry.join(evidence.sources(again), "need_id", "left").select("need_id", F.struct(F.col("answer"), F.col("v.confidence").alias("confidence"), F.col("v.validated").alias("validated"), F.concat(F.col("v.note"), F.lit(" (retried with fallback)")).alias("note"), F.col("sources")).alias("r"))
         met = first.join(retry, "need_id", "left")
         better = F.coalesce(F.col("r.validated") | (F.col("r.confidence") > F.col("confidence")), F.lit(False))

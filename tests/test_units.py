@@ -174,7 +174,7 @@ def test_ask(spark):
 def test_config():
     c = config.parse("retrieval.retriever = bm25  # words\nbm25.k1 = 2\nother.key = x\n")
     assert (c.retriever, c.k1, c.extra) == ("bm25", 2.0, {"other.key": "x"})
-    for bad in ("query.analyzer = best", "bm25.k1 = 0", "bm25.b = 2"):
+    for bad in ("query.analyzer = best", "bm25.k1 = 0", "bm25.b = 0", "retrieval.ann_weight = 2", "confidence.volume_weight = -1"):
         with pytest.raises(ValueError):
             config.parse(bad)
     assert config.sections("# c\n[A]\nx, y z\n[B]\nq") == {"A": ["x", "y z"], "B": ["q"]}
