@@ -21,11 +21,15 @@ from .config import Config
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """Written once, to the shared checkpoint folder that the session names (a local one where it names none)."""
+    """Written once, to the shared checkpoint folder that the session names. Where it names none: to a local one in local mode,
+    as in tests; on a cluster that is an error."""
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="querylark-"))
+        named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="querylark-"))
     return df.checkpoint()
 
 
