@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-YEAR = r"\b(1[0-9]{3}|20[0-9]{2})\b"
+YEAR = r"(?<![A-Za-z0-9_])(1[0-9]{3}|20[0-9]{2})(?![A-Za-z0-9_])"
 
 
 def col(c: Column | str) -> Column:
@@ -126,6 +126,8 @@ def offset(c: Column | str, part: Column | str) -> Column:
 
 
 def names(c: Column | str) -> Column:
-    """Runs of capitalised words and of capitals, sorted and distinct."""
-    runs = F.regexp_extract_all(col(c), F.lit(r"\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b"), F.lit(0))
-    return F.array_sort(F.array_distinct(F.concat(runs, F.regexp_extract_all(col(c), F.lit(r"\b[A-Z]{2,}\b"), F.lit(0)))))
+    """Runs of capitalised words and of capitals, sorted and distinct. Only A-Z, a-z, digits and _ are letters of words, so
+    a name may stand beside any other letter."""
+    alone = r"(?<![A-Za-z0-9_])(?:%s)(?![A-Za-z0-9_])"
+    found = [F.regexp_extract_all(col(c), F.lit(alone % p), F.lit(0)) for p in (r"[A-Z][a-z]+(?:[ \t\n\x0B\f\r]+[A-Z][a-z]+)*", "[A-Z]{2,}")]
+    return F.array_sort(F.array_distinct(F.concat(*found)))

@@ -470,7 +470,12 @@ def hybrid_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipeline.hybrid_json(QUERIES["hybrid_union"](spark, sf_dir), summary_text(spark, sf_dir))
 
 
-@query()
+@query(
+    r"WITH m AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '(?m)^[ \t]*([-#*][^\n]*)$', chr(1) || '\1' || chr(1), 'g'), '\n([ \t\r]*\n)+', chr(1) || chr(10), 'g'), chr(1)) AS runs FROM documents), "
+    r"c AS (SELECT doc_id, flatten(list_transform(runs, lambda r: CASE WHEN regexp_matches(r, '^[-#*]') THEN [r] ELSE regexp_extract_all(regexp_replace(replace(r, chr(10), ' '), '^[ \t\r\n]+', ''), '[^.!?]*[.!?]|[^.!?]+\z') END)) AS cut FROM m), "
+    r"s AS (SELECT doc_id, list_filter(list_transform(cut, lambda x: regexp_replace(x, '^[ \t\r\n-]+', '')), lambda x: len(x) >= 15) AS segs FROM c) "
+    r"SELECT doc_id, CAST(unnest(range(len(segs))) AS INTEGER) AS seg_ord, unnest(segs) AS seg FROM s"
+)
 def segment_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.segments("text")).alias("seg_ord", "seg"))
 
@@ -522,10 +527,11 @@ def entity_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FORMS = " ".join(f"WHEN property = '{p}' THEN '{f}'" for p, f in V.DEFAULT_FORM.items())
 
 
-@query(
-    f"WITH {_BEST} SELECT conv_id, turn, CASE {_FORMS} WHEN {_sql_count('low', V.EXPLANATION_HINTS)} > 0 THEN 'EXPLANATION' WHEN {_sql_count('low', V.SUMMARY_HINTS)} > 0 THEN 'SUMMARY' ELSE 'SHORT_FACT' END AS form, "
-    f"CASE WHEN {_sql_count('low', V.STRICT_HINTS)} > 0 THEN 'STRICT' WHEN {_sql_count('low', V.EXPANDED_HINTS)} > 0 THEN 'EXPANDED' WHEN property IN ('LOCATION', 'DEFINITION', 'TIME') THEN 'STRICT' WHEN property IN ('HISTORY', 'COMPARISON') THEN 'EXPANDED' ELSE 'NORMAL' END AS scope FROM p"
-)
+_FORM_SQL = f"CASE {_FORMS} WHEN {_sql_count('low', V.EXPLANATION_HINTS)} > 0 THEN 'EXPLANATION' WHEN {_sql_count('low', V.SUMMARY_HINTS)} > 0 THEN 'SUMMARY' ELSE 'SHORT_FACT' END"
+_SCOPE_SQL = f"CASE WHEN {_sql_count('low', V.STRICT_HINTS)} > 0 THEN 'STRICT' WHEN {_sql_count('low', V.EXPANDED_HINTS)} > 0 THEN 'EXPANDED' WHEN property IN ('LOCATION', 'DEFINITION', 'TIME') THEN 'STRICT' WHEN property IN ('HISTORY', 'COMPARISON') THEN 'EXPANDED' ELSE 'NORMAL' END"
+
+
+@query(f"WITH {_BEST} SELECT conv_id, turn, {_FORM_SQL} AS form, {_SCOPE_SQL} AS scope FROM p")
 def scope_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _turns(spark, sf_dir).withColumn("p", needs.best_property("clause")["property"])
     return t.select("conv_id", "turn", needs.form("clause", F.col("p")).alias("form"), needs.scope("clause", F.col("p")).alias("scope"))
@@ -556,28 +562,72 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("qid", F.replace(F.get(patterns, (F.col("qid") % len(_ASKS)).cast("int")), F.lit("{}"), F.col("name")).alias("query"))
 
 
-@query()
+def _joined(n: DataFrame) -> DataFrame:
+    return n.withColumn("keywords", F.array_join("keywords", " "))
+
+
+_CLAUSE_CUT = (
+    "array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || CASE WHEN i = len(a) THEN '' "
+    f"WHEN regexp_matches(array_to_string(a[i + 1:], ' and '), '{'|'.join(V.CLAUSE_TRIGGERS)}') THEN ';' ELSE ' and ' END), '')"
+)
+
+
+def _needs_sql(query: str) -> str:
+    """Common tables up to needs: the needs of a question for each nation, with their columns."""
+    return (
+        f"q AS (SELECT n_nationkey AS qid, {query} AS text FROM nation), a AS (SELECT *, {_low('text')} AS low, string_split({_low('text')}, ' and ') AS a FROM q), "
+        f"x AS (SELECT *, list_filter(list_transform(regexp_split_to_array({_CLAUSE_CUT}, '[;?]'), lambda p: regexp_replace(p, '^[ \\t]+', '')), lambda p: len(p) > 0) AS cs FROM a), "
+        "y AS (SELECT qid, text, low, CASE WHEN len(cs) > 0 THEN cs ELSE [low] END AS cs FROM x), "
+        "z AS (SELECT qid, text, low, CAST(unnest(range(len(cs))) AS INTEGER) AS need_ord, unnest(cs) AS clause FROM y), "
+        f"t AS (SELECT *, {_KW.replace('(text,', '(clause,')} AS kw FROM z), o AS (SELECT qid, need_ord, clause, kw, {_ENTITY} AS own FROM t), "
+        "f AS (SELECT *, clause AS low, coalesce(last_value(nullif(own, '') IGNORE NULLS) OVER (PARTITION BY qid ORDER BY need_ord), '') AS entity FROM o), "
+        f"b AS (SELECT *, list_max([{', '.join(_PROPS)}]) AS best FROM f), p AS (SELECT *, CASE WHEN best.s > 0 THEN best.p ELSE 'GENERAL' END AS property FROM b), "
+        f"needs AS (SELECT qid, need_ord, clause, array_to_string(CASE WHEN own = '' AND entity <> '' AND NOT list_contains(kw, entity) THEN list_prepend(entity, kw) ELSE kw END, ' ') AS keywords, entity, property, CAST(best.s AS DOUBLE) AS property_score, {_FORM_SQL} AS form, {_SCOPE_SQL} AS scope, false AS is_support FROM p)"
+    )
+
+
+_NEEDS = _needs_sql(f"replace({_sql_list(_ASKS)}[CAST(n_nationkey % {len(_ASKS)} AS INTEGER) + 1], '{{}}', lower(n_name))")
+
+
+@query(f"WITH {_NEEDS} SELECT * FROM needs")
 def needs_analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return needs.analyzed(_questions(spark, sf_dir))
+    return _joined(needs.analyzed(_questions(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {_needs_sql(chr(39) + 'how does it work' + chr(39))} SELECT * REPLACE (CASE WHEN entity = '' THEN concat_ws(' ', nullif(keywords, ''), 'engine') ELSE keywords END AS keywords, CASE WHEN entity = '' THEN 'engine' ELSE entity END AS entity) FROM needs")
 def needs_remembered(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = _questions(spark, sf_dir)
-    return needs.remembered(needs.analyzed(q.withColumn("query", F.lit("how does it work"))), q.select("qid", F.lit("engine").alias("last_entity")))
+    return _joined(needs.remembered(needs.analyzed(q.withColumn("query", F.lit("how does it work"))), q.select("qid", F.lit("engine").alias("last_entity"))))
 
 
-@query()
+_RULES = "r(trigger, rule, property, form, words) AS (VALUES " + ", ".join(f"('{a}', {k}, '{b}', '{f}', '{' '.join(w)}')" for k, (a, b, f, w) in enumerate(V.SELF_ASK)) + ")"
+_WAITS = _sql_list([f"{a}>{b}" for a, bs in V.DEPENDENCIES.items() for b in bs])
+#: Needs and, behind them, what they ask themselves.
+_EXPANDED = (
+    f"WITH RECURSIVE {_NEEDS}, {_RULES}, "
+    "s AS (SELECT qid, need_ord, rule, r.property AS property, r.form AS form, r.words || ' ' || entity AS keywords, entity FROM needs JOIN r ON needs.property = r.trigger), "
+    "s1 AS (SELECT *, row_number() OVER (PARTITION BY qid, property, entity ORDER BY need_ord, rule) AS k FROM s WHERE NOT EXISTS (SELECT 1 FROM needs n WHERE n.qid = s.qid AND n.property = s.property AND n.entity = s.entity)), "
+    "s2 AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY need_ord, rule) AS place FROM s1 WHERE k = 1), l AS (SELECT qid, max(need_ord) AS last FROM needs GROUP BY qid), "
+    "e AS (SELECT * FROM needs UNION ALL SELECT qid, CAST(last + place AS INTEGER), '', keywords, entity, property, 0.0::DOUBLE, form, 'NORMAL', true FROM s2 JOIN l USING (qid))"
+)
+
+
+@query(
+    _EXPANDED + ", w(qid, rest, done) AS (SELECT qid, list({'o': need_ord, 'p': property} ORDER BY need_ord), CAST([] AS INTEGER[]) FROM e GROUP BY qid UNION ALL "
+    "SELECT qid, list_filter(rest, lambda x: x.o <> pick), list_append(done, pick) FROM (SELECT *, "
+    f"list_filter(rest, lambda x: len(list_filter(rest, lambda y: y.o <> x.o AND list_contains({_WAITS}, x.p || '>' || y.p))) = 0)[1].o AS pick FROM w WHERE len(rest) > 0) AS next), "
+    "d AS (SELECT qid, CAST(unnest(range(len(done))) AS INTEGER) AS plan_ord, unnest(done) AS need_ord FROM w WHERE len(rest) = 0) "
+    "SELECT e.* REPLACE (CASE WHEN is_support THEN scope ELSE 'STRICT' END AS scope), plan_ord FROM e JOIN d USING (qid, need_ord)"
+)
 def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return needs.planned(needs.overridden(needs.expanded(needs.analyzed(_questions(spark, sf_dir))), brief=True))
+    return _joined(needs.planned(needs.overridden(needs.expanded(needs.analyzed(_questions(spark, sf_dir))), brief=True)))
 
 
-@query()
+@query(_EXPANDED + f" SELECT DISTINCT a.qid, b.need_ord AS before, a.need_ord AS after FROM e a JOIN e b ON a.qid = b.qid AND a.need_ord <> b.need_ord WHERE list_contains({_WAITS}, a.property || '>' || b.property)")
 def plan_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return needs.dependencies(needs.expanded(needs.analyzed(_questions(spark, sf_dir))))
 
 
-_RULES = "r(trigger, rule, property, form, words) AS (VALUES " + ", ".join(f"('{a}', {k}, '{b}', '{f}', '{' '.join(w)}')" for k, (a, b, f, w) in enumerate(V.SELF_ASK)) + ")"
 _SUPPORT = f"WITH {_BEST}, {_RULES}, n AS (SELECT conv_id, turn, property AS trigger, {_ENTITY} AS entity FROM p)"
 
 
@@ -802,20 +852,28 @@ def encoder_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.encoder_pairs(table(spark, sf_dir, "documents"))
 
 
-@query()
+_NAMES = r"list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Z][a-z]+(?:[ \t\n\x0B\f\r]+[A-Z][a-z]+)*\b'), regexp_extract_all(text, '\b[A-Z]{2,}\b'))))"
+_TEMPLATES = "t(a, b, intent, answer_type) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{i}', '{k}')" for a, b, i, k in V.TEMPLATES) + ")"
+_ASKED_OF = f"WITH n AS (SELECT doc_id, {_NAMES} AS ns FROM documents), {_TEMPLATES}, e AS (SELECT doc_id, unnest(list_filter(ns, lambda x: len(x) BETWEEN 3 AND 40)[1:20]) AS entity FROM n), q AS (SELECT doc_id, entity, concat_ws(' ', a, entity, nullif(b, '')) AS question, intent, answer_type FROM e CROSS JOIN t)"
+
+
+@query(_ASKED_OF + " SELECT * FROM q")
 def template_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.template_questions(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    _ASKED_OF + f", w AS (SELECT doc_id, entity, question, regexp_extract_all({_low('question')}, '[a-z0-9]+') AS w, regexp_extract_all({_low('entity')}, '[a-z0-9]+') AS ew FROM q), "
+    "m AS (SELECT *, list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(ew) - 1] = ew)[1] AS place FROM w) "
+    "SELECT doc_id, entity, question, array_to_string(list_transform(range(1, len(w) + 1), lambda i: CASE WHEN i = place THEN 1 WHEN i > place AND i < place + len(ew) THEN 2 ELSE 0 END), ' ') AS tags FROM m"
+)
 def bio_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.bio_tags(training.template_questions(table(spark, sf_dir, "documents"))).select("doc_id", "entity", "question", F.array_join("tags", " ").alias("tags"))
 
 
-@query(r"WITH n AS (SELECT doc_id, list_sort(list_distinct(list_concat(regexp_extract_all(text, '\b[A-Z][a-z]+(?: [A-Z][a-z]+)*\b'), regexp_extract_all(text, '\b[A-Z]{2,}\b')))) AS ns FROM benchmark_ascii) SELECT doc_id, array_to_string(ns, '|') AS names FROM n".replace("benchmark_ascii", "(SELECT item_id AS doc_id, regexp_replace(text, '[^ -~]', ' ', 'g') AS text FROM benchmark)"))
+@query(f"SELECT item_id AS doc_id, array_to_string({_NAMES}, '|') AS names FROM benchmark")
 def entity_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.regexp_replace("text", "[^ -~]", " ").alias("text"))
-    return b.select("doc_id", F.array_join(T.names("text"), "|").alias("names"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.array_join(T.names("text"), "|").alias("names"))
 
 
 # All together -----------------------------------------------------------------------------------------------------

@@ -83,6 +83,8 @@ def test_text(spark):
     assert one(spark, "a." + "b" * 300, F.length(T.truncated("t", 200))) == 200
     assert one(spark, "the c++ way", T.contains_word("t", F.lit("c++"))) and not one(spark, "concat", T.contains_word("t", F.lit("cat")))
     assert one(spark, "in 1642 or 2100", T.has_year("t")) and not one(spark, "12345", T.has_year("t"))
+    assert one(spark, "café1999", T.has_year("t")) and not one(spark, "x1999", T.has_year("t"))
+    assert one(spark, "Élan Über New\n York, NATO's éSaab FooBar A_B Oslo", T.names("t")) == ["NATO", "New\n York", "Oslo", "Saab"]
 
 
 def test_nearest(spark):
