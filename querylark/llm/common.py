@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -313,15 +315,20 @@ def join_per_key(rows: DataFrame, per_key: DataFrame, keys: list[str], total: in
     """rows joined with per_key, which has one row a key and in c the number of rows with it, all in `total` or fewer.
 
     Keys with more than one in HOT of the rows are hot; there can't be more than HOT of them, so they are broadcast and
-    their rows stay where they are. No task of the other join gets more than that share through one key.
+    their rows stay where they are. No task of the other join gets more than that share through one key. A filter tells
+    the two kinds of rows apart, so that each row goes through one join, as it does where no key is hot.
     """
-    hot = per_key.where(F.col("c") * HOT > total)
+    set_ = [F.col(k).isNotNull() for k in keys]
+    hot = per_key.where(reduce(and_, set_, F.col("c") * HOT > total))
     found = hot.collect()  # HOT rows at most
     if not found:
         return rows.join(per_key, keys)
     hot = rows.sparkSession.createDataFrame(found, hot.schema)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return rest.join(per_key.where(F.col("c") * HOT <= total), keys).unionByName(rows.join(F.broadcast(hot), keys))
+    parts = {k: [F.lit(r[k]).cast(rows.schema[k].dataType).alias(k) for r in found] for k in keys}
+    is_hot = F.col(keys[0]).isin(parts[keys[0]])
+    if len(keys) > 1:  # few rows get past the first key
+        is_hot &= F.struct(*keys).isin([F.struct(*x) for x in zip(*parts.values())])
+    return rows.where(~is_hot).join(per_key, keys).unionByName(rows.where(is_hot).join(F.broadcast(hot), keys))
 
 
 def components(edges: DataFrame) -> DataFrame:
