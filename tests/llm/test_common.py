@@ -1,15 +1,15 @@
 import pytest
 from pyspark.sql import functions as F
-from querylark.llm import common
+from querylark.llm import common, minhash
 
 
-def joined_rows(df):
-    """Rows that came out of all joins of a DataFrame that was collected."""
+def joined_rows(df, on="["):
+    """Rows that came out of all joins, or those on a column, of a DataFrame that was collected."""
     total, todo = 0, [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
         name = node.nodeName()
-        if "Join" in name:
+        if "Join" in name and on in node.simpleString(1000):
             total += node.metrics().get("numOutputRows").get().value()
         if name == "AdaptiveSparkPlan":
             todo.append(node.executedPlan())
@@ -31,3 +31,26 @@ def test_each_row_goes_through_one_join(spark, keys, hot):
     want = rows.join(per_key, keys).select(*got.columns)
     assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
     assert joined_rows(got) == got.count() == 5500
+
+
+def test_hashes_of_near_copies_go_through_one_join(spark, monkeypatch):
+    """A group of near copies of any size adds its hashes to the joins with what is known of each hash, each once."""
+    seen = []
+    join = common.join_per_key
+
+    def spy(rows, per_key, keys, total):
+        out = join(rows, per_key, keys, total)
+        if keys == ["v"]:
+            out.collect()
+            seen.append((rows.count(), joined_rows(out, "[v#"), per_key.where(F.col("c") * common.HOT > total).count()))
+        return out
+
+    monkeypatch.setattr(common, "join_per_key", spy)
+    for copies in (50, 100):
+        passage = " ".join(f"w{k}" for k in range(100))
+        texts = [f"{passage} x{i}" for i in range(copies)] + [" ".join(f"t{i}w{k}" for k in range(30)) for i in range(100)]
+        out = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+        assert out.where("kept").count() == 101
+    assert len(seen) == 4
+    for n, joined, hot in seen:
+        assert joined == n and hot
