@@ -55,3 +55,20 @@ def test_buckets_sum_like_expressions(spark):
     keys = F.array(*[F.floor((vectors.dot(F.col("embedding"), F.array(*[F.lit(float(y)) for y in planes[t]])) + float(shift[t])) / 1.5) for t in range(8)])
     want = [r.k for r in v.select("vec_id", keys.alias("k")).orderBy("vec_id").collect()]
     assert (vectors.buckets(x, 8, 1.5, 7).T == np.array(want)).all()
+
+
+def _brute(x, qs, k, by):
+    s = {i: [(round(float(((x[i] - y) ** 2).sum() if by == "l2" else -(x[i] @ y)), 6), j) for j, y in enumerate(x)] for i in qs}
+    return {i: [j for _, j in sorted(rows)[:k]] for i, rows in s.items()}
+
+
+def test_knn_batch_holds_a_bounded_part(spark, monkeypatch):
+    x, v, q = cloud(spark, 400)
+    monkeypatch.setattr(vectors, "SHARD", 50)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 7)
+    df = vectors.nearest(v, q, 5)
+    assert "collect_list" not in plan(df)  # no row holds a block or a shard
+    got = {}
+    for r in df.orderBy("qid", "rk").collect():
+        got.setdefault(r.qid, []).append(r.vec_id)
+    assert got == _brute(x, range(0, 400, 20), 5, "l2")
