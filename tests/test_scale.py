@@ -72,3 +72,19 @@ def test_knn_batch_holds_a_bounded_part(spark, monkeypatch):
     for r in df.orderBy("qid", "rk").collect():
         got.setdefault(r.qid, []).append(r.vec_id)
     assert got == _brute(x, range(0, 400, 20), 5, "l2")
+
+
+def test_cosine_rank_holds_few_distances_at_a_time(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(300, 4))
+    x[100:200] = x[:100]  # ties go to the smaller id
+    ids, most = np.arange(300)[::-1].copy(), []
+    monkeypatch.setattr(vectors, "CELLS", 1000)
+    seen = np.round
+    monkeypatch.setattr(vectors.np, "round", lambda a, *b, **c: (most.append(a.size), seen(a, *b, **c))[1])
+    got = vectors.best(np.arange(60), x[:60], ids, x, 5, "dot").to_pydict()
+    assert max(most) <= 1000 and len(most) == 20
+    by = {}
+    for i, j in zip(got["qid"], got["vec_id"]):
+        by.setdefault(i, []).append(j)
+    s = {i: sorted((-round(float(x[i] @ y), 6), int(j)) for j, y in zip(ids, x)) for i in range(60)}
+    assert by == {i: [j for _, j in rows[:5]] for i, rows in s.items()}
