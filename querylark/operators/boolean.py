@@ -59,12 +59,7 @@ def parse(query: str) -> Query:
 
 def phrase_docs(index: Index, words: Sequence[str]) -> DataFrame:
     """(doc_id) with the words at positions that follow each other."""
-    if not words:
-        return index.postings.select("doc_id").limit(0)
-    tables = [index.lookup(w).select("doc_id", F.col("positions").alias(f"p{k}")) for k, w in enumerate(words)]
-    met = reduce(lambda a, b: a.join(b, "doc_id"), tables)
-    follows = lambda p: reduce(lambda a, k: a & F.array_contains(F.col(f"p{k}"), p + k), range(1, len(words)), F.lit(True))
-    return met.where(F.exists("p0", follows)).select("doc_id")
+    return index.phrase(words)
 
 
 def matches(index: Index, q: Query) -> DataFrame:

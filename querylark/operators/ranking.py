@@ -49,10 +49,14 @@ def bm25_within(index: Index, terms: Sequence[str], docs: DataFrame, **options:
 
 
 def bm25_batch(index: Index, wanted: DataFrame, k: int = 10, key: str = "qid", k1: float = K1, b: float = B) -> DataFrame:
-    """(key, doc_id, score, rk) for wanted(key, term): the k best documents of each query."""
+    """(key, doc_id, score, rk) for wanted(key, term): the k best documents of each query.
+
+    Postings come dealt by document, so sums are made and the k best of a task are found where they lie; k rows a query and task are shuffled.
+    """
     asked = wanted.select(key, "term").distinct()
-    weights = index.terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", idf(F.col("df"), index.n).alias("idf"))
-    met = index.postings.select("term", "doc_id", "tf", "dl").join(asked.join(weights, "term"), "term")
+    weights = index.frequencies(asked).select("term", idf(F.col("df"), index.n).alias("idf"))
+    # A row for each query and term, so its size is that of the batch.
+    met = index.matched(asked).join(F.broadcast(asked.join(weights, "term")), "term")
     sums = met.groupBy(key, "doc_id").agg(F.round(F.sum(F.col("idf") * weight(F.col("tf"), F.col("dl"), index.avgdl, k1, b)), 6).alias("score"))
     best = Window.partitionBy(key).orderBy(F.desc("score"), "doc_id")
     return sums.withColumn("rk", F.row_number().over(best)).where(F.col("rk") <= k)

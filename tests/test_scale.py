@@ -3,7 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from querylark.operators import vectors
+from querylark.functions import text as T
+from querylark.operators import boolean, ranking, vectors
+from querylark.operators import index as ix
 
 
 def records(spark, df):
@@ -88,3 +90,72 @@ def test_cosine_rank_holds_few_distances_at_a_time(monkeypatch):
         by.setdefault(i, []).append(j)
     s = {i: sorted((-round(float(x[i] @ y), 6), int(j)) for j, y in zip(ids, x)) for i in range(60)}
     assert by == {i: [j for _, j in rows[:5]] for i, rows in s.items()}
+
+
+def texts(spark, n, words=60):
+    r = np.random.default_rng(3)
+    rows = [(i, " ".join(f"W{k}" for k in r.zipf(1.3, words) % 500)) for i in range(n)]
+    return spark.createDataFrame([*rows, (n, ""), (n + 1, None), (n + 2, "...")], "doc_id long, text string")
+
+
+def both(docs):
+    """The index from texts, and the one that keeps postings."""
+    return ix.Index.of(docs, persist=False), ix.Index.of(docs)
+
+
+def listed(df):
+    return sorted(map(repr, df.collect()))
+
+
+def test_posting_positions_come_without_shuffle(spark):
+    docs = texts(spark, 200)
+    plain, kept = both(docs)
+    assert "Exchange" not in plan(ix.postings(docs)) and "Exchange" not in plan(plain.lookup("w1", "w2"))
+    want = {}
+    for r in docs.where("text IS NOT NULL").collect():
+        ws = [w.lower() for w in r.text.split() if w != "..."]
+        for at, w in enumerate(ws):
+            want.setdefault((w, r.doc_id, len(ws)), []).append(at)
+    got = {(r.term, r.doc_id, r.dl): list(r.positions) for r in ix.postings(docs).collect()}
+    assert got == want and all(r.tf == len(r.positions) for r in kept.postings.collect())
+    assert listed(plain.lookup("w1", "w2", "none")) == listed(kept.lookup("w1", "w2", "none"))
+
+
+def test_arrays_are_made_once(spark):
+    text = plan(ix.Index.of(texts(spark, 5), persist=False).lookup("w1"))
+    optimized = text[text.index("Optimized Logical Plan") : text.index("Physical Plan ==")]
+    assert optimized.count("regexp_extract_all") == 1
+
+
+def test_phrase_2_joins_no_positions(spark):
+    plain, kept = both(texts(spark, 300))
+    assert "Join" not in plan(boolean.phrase_docs(plain, ["w1", "w2"]))
+    for words in (["w1"], ["w1", "w1"], ["w2", "w1"], ["W1", "w2"], ["w-1", "w2"], []):
+        assert listed(boolean.phrase_docs(plain, words)) == listed(boolean.phrase_docs(kept, words))
+
+
+def test_bm25_batch_shuffles_the_best_rows_alone(spark):
+    wanted = spark.createDataFrame([(q, f"w{t}") for q in range(20) for t in (1, 2, 3, 10 + q)], "qid long, term string")
+    for n in (300, 1200):
+        plain, kept = both(texts(spark, n))
+        df = ranking.bm25_batch(plain, wanted, 3)
+        assert listed(df) == listed(ranking.bm25_batch(kept, wanted, 3))
+        assert records(spark, df) < n + 3 * 20 * 8 + 8 * 100  # texts once, 3 rows a query and task, terms of queries
+    one, two = (ranking.scored(i, ["w1", "w7"]) for i in (plain, kept))
+    assert listed(one.withColumn("score", F.round("score", 9))) == listed(two.withColumn("score", F.round("score", 9)))
+
+
+def test_vocab_ids_shuffle_each_term_twice_at_most(spark):
+    docs = texts(spark, 300)
+    plain, kept = both(docs)
+    assert listed(plain.vocabulary()) == listed(kept.vocabulary())
+    df = plain.vocabulary()
+    assert [r.tid for r in df.orderBy("term").collect()] == list(range(df.count())) and "Window" not in plan(df)
+
+
+def test_tokens_are_those_of_ascii_letters(spark):
+    every = "".join(chr(c) + " " for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000)
+    df = spark.createDataFrame([(every,), ("aİbKc ÀB ﬀ ΑΣ",), (None,), ("",)], "t string")
+    old = F.regexp_extract_all(F.translate("t", T.UPPER, T.LOWER), F.lit("[a-z0-9]+"), F.lit(0))
+    for r in df.select(T.tokens("t").alias("a"), old.alias("b"), T.fold("t").alias("c"), F.translate("t", T.UPPER, T.LOWER).alias("d")).collect():
+        assert r.a == r.b and r.c == r.d
