@@ -55,7 +55,8 @@ def _picked(sentences: pd.Series) -> pd.Series:
 
 def summaries(ranked: DataFrame, docs: DataFrame, wanted: DataFrame, key: str = "qid") -> DataFrame:
     """(key, summary) for ranked(key, doc_id, score, rk) and wanted(key, keywords); a query without keywords has none."""
-    texts = chosen_docs(ranked, key).join(docs.select("doc_id", "text"), "doc_id").join(wanted.select(key, "keywords"), key)
+    # DOCS rows a query.
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen_docs(ranked, key)), "doc_id").join(wanted.select(key, "keywords"), key)
     s = scored_sentences(texts, key)
     # All scored sentences of a query's few documents: how many fall away as repeated ones isn't known before.
     listed = s.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rk", (-F.col("score")).alias("k"), "sent_ord", "sentence"))).alias("rows"))

@@ -51,7 +51,8 @@ def understood(queries: DataFrame, memory: DataFrame | None = None, brief: bool
 def evidence_for(wanted: DataFrame, ranked: DataFrame, docs: DataFrame, per_doc: int, most: int, merge: bool = True, config: Config = Config()) -> DataFrame:
     """(need_id, ev_ord, doc_id, type, text, score, keywords) for wanted needs and ranked(need_id, doc_id, score, rk)."""
     # Documents are cut once, however many needs found them.
-    found = chunks.chunks(docs.join(ranked.select("doc_id").distinct(), "doc_id", "left_semi"), config.least_chunk)
+    # As many documents as needs found: a number for each need.
+    found = chunks.chunks(docs.join(F.broadcast(ranked.select("doc_id").distinct()), "doc_id", "left_semi"), config.least_chunk)
     pieces = ranked.join(found, "doc_id").join(wanted.select("need_id", "property", "keywords"), "need_id")
     chosen = chunks.selected(pieces, per_doc, boosts=(config.keyword_boost, config.own_type_boost, config.place_boost, config.preferred_boost))
     chosen = chunks.merged(chosen, pieces) if merge else chosen
@@ -88,7 +89,8 @@ def ask(index: Index, queries: DataFrame, config: Config = Config(), by: Retriev
     """
     by = by or retriever_of(config, index)
     plan = _cut(understood(queries, memory, brief, detailed))
-    ev = _cut(evidence_for(plan, _retrieved(plan, by.search), index.docs, config.chunks_per_doc, config.max_evidence, config=config))
+    # Ranked documents, a few rows a need, are written once: three steps read them, and each would search all texts.
+    ev = _cut(evidence_for(plan, _cut(_retrieved(plan, by.search)), index.docs, config.chunks_per_doc, config.max_evidence, config=config))
     judged = _judged(plan, ev, True, config)
     level = evidence.compression(F.col("scope"), F.col("confidence"), F.col("agreement"), F.col("n_evidence"), config.compressed_confidence, config.compressed_agreement)
     note = F.when(F.col("contradictions") > 0, F.concat(F.col("contradictions").cast("string"), F.lit(" contradiction(s) detected."), F.when(F.col("agreements") > 0, F.concat(F.lit(" "), F.col("agreements").cast("string"), F.lit(" agreement(s)."))).otherwise("")))
@@ -108,7 +110,7 @@ def ask(index: Index, queries: DataFrame, config: Config = Config(), by: Retriev
     if by.fallback is not None:
         first = _cut(out)
         failed = first.where("NOT validated").select(*plan.columns)
-        again = evidence_for(failed, _retrieved(failed, by.fallback), index.docs, 5, config.max_evidence, merge=False, config=config)
+        again = evidence_for(failed, _cut(_retrieved(failed, by.fallback)), index.docs, 5, config.max_evidence, merge=False, config=config)
         again = _cut(again)
         retry = _judged(failed, again, False, config).withColumn("v", valid())
         retry = retry.join(evidence.sources(again), "need_id", "left").select("need_id", F.struct(F.col("answer"), F.col("v.confidence").alias("confidence"), F.col("v.validated").alias("validated"), F.concat(F.col("v.note"), F.lit(" (retried with fallback)")).alias("note"), F.col("sources")).alias("r"))

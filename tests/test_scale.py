@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from querylark.functions import text as T
 from querylark.operators import boolean, ranking, vectors
+from querylark.plans import pipeline
 from querylark.operators import index as ix
 
 
@@ -174,3 +175,17 @@ def test_hybrid_bow_embeds_documents_where_they_lie(spark, monkeypatch):
     assert np.allclose(got[7], v / np.linalg.norm(v), atol=1e-6)
     wanted = spark.createDataFrame([(1, "w1"), (1, "w1"), (1, "unknown"), (2, "unknown")], "qid long, term string")
     assert set(r.qid for r in e.queries(wanted).collect()) == {1} and "collect_list(struct" not in plan(e.queries(wanted))
+
+
+def test_ask_pipeline_searches_once_for_evidence(spark):
+    def search(wanted):
+        found = spark.createDataFrame([(1000, 1, 1.0, 1)], "qid long, doc_id long, score double, rk int")
+        return found.where(F.udf(lambda d: seen_by.add(1) or True, "boolean")("doc_id"))
+
+    seen_by = spark.sparkContext.accumulator(0)
+    i = ix.Index.of(spark.createDataFrame([(1, "Japan is an island country located in east Asia, in the Pacific Ocean.")], "doc_id long, text string"), persist=False)
+    q = spark.createDataFrame([(1, "where is japan")], "qid long, query string")
+    from querylark.operators.hybrid import Retriever
+
+    got = pipeline.ask(i, q, by=Retriever("one", search)).collect()
+    assert [r.sources for r in got if not r.is_support] == [[1]] and seen_by.value == 1
