@@ -64,12 +64,12 @@ def selected(pieces: DataFrame, per_doc: int = PER_DOC, keys: tuple[str, ...] =
     passage follows behind all chosen ones.
     """
     by = Window.partitionBy(*keys, "doc_id")
-    s = pieces.withColumn("tokens", T.tokens("text")).withColumn("chunk_score", score(F.col("property"), F.col("type"), F.col("tokens"), F.col("keywords"), boosts)).drop("tokens")
+    s = pieces.withColumn("tokens", T.tokens("text")).withColumn("chunk_score", score(F.col("property"), F.col("type"), F.col("tokens"), F.col("keywords"), boosts)).withColumn("open", ends_open("text")).drop("tokens")
     ranked = s.withColumn("sel_ord", F.row_number().over(by.orderBy(F.desc("chunk_score"), "chunk_id"))).withColumn("chosen", F.col("sel_ord") <= per_doc)
-    goes_on = F.lag(F.col("chosen") & ends_open("text"), 1, False).over(by.orderBy("chunk_id"))
+    goes_on = F.lag(F.col("chosen") & F.col("open"), 1, False).over(by.orderBy("chunk_id"))
     kept = ranked.withColumn("goes_on", goes_on).where("chosen OR goes_on")
     behind = F.when(F.col("chosen"), F.col("sel_ord")).otherwise(F.lit(per_doc) + F.col("chunk_id") + 1)
-    return kept.withColumn("sel_ord", F.row_number().over(by.orderBy(behind))).drop("chosen", "goes_on")
+    return kept.withColumn("sel_ord", F.row_number().over(by.orderBy(behind))).drop("chosen", "goes_on", "open")
 
 
 def merged(chosen: DataFrame, pieces: DataFrame, keys: tuple[str, ...] = ("need_id",)) -> DataFrame:

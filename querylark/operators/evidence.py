@@ -36,10 +36,16 @@ def contradiction(a: str = "a", b: str = "b", opposites: list[tuple[str, str]] =
     return (F.col(f"{a}.type") == F.col(f"{b}.type")) & (F.col(f"{a}.doc_id") != F.col(f"{b}.doc_id")) & (negated | opposed)
 
 
+def met_pairs(claimed: DataFrame, key: str = "need_id") -> DataFrame:
+    """(key, a, b) with a before b, from one list of the few claims of a need: texts are read once, not for each side of a join."""
+    listed = claimed.select(key, F.struct("ev_ord", "doc_id", "type", "words", "negations").alias("c")).groupBy(key).agg(F.collect_list("c").alias("cs"))
+    first = listed.select(key, "cs", F.explode_outer("cs").alias("a"))
+    return first.select(key, "a", F.explode_outer("cs").alias("b")).where("a.ev_ord < b.ev_ord")
+
+
 def pairs(claimed: DataFrame, key: str = "need_id") -> DataFrame:
     """(key, i, j, agreement, contradicts) for the pairs of evidence of a need (15 rows at most, so 105 pairs)."""
-    s = claimed.select(key, "ev_ord", F.struct("ev_ord", "doc_id", "type", "words", "negations").alias("c"))
-    met = s.select(key, F.col("c").alias("a")).join(s.select(key, F.col("c").alias("b")), key).where("a.ev_ord < b.ev_ord")
+    met = met_pairs(claimed, key)
     return met.select(key, F.col("a.ev_ord").alias("i"), F.col("b.ev_ord").alias("j"), agreement().alias("agreement"), contradiction().alias("contradicts"))
 
 
@@ -56,10 +62,11 @@ def analysis(evidence: DataFrame, key: str = "need_id") -> DataFrame:
 
 def coverage(evidence: DataFrame, key: str = "need_id", whole_words: bool = False) -> DataFrame:
     """(key, coverage): distinct keywords found in evidence over all keywords (repetitions count below the line)."""
-    k = evidence.select(key, F.size("keywords").alias("n"), "text", F.explode("keywords").alias("w"))
-    low = T.fold("text")
-    found = F.array_contains(T.tokens("text"), F.col("w")) if whole_words else F.contains(low, F.col("w"))
-    return k.groupBy(key).agg((F.countDistinct(F.when(found, F.col("w"))) / F.max("n")).alias("coverage"))
+    asked = evidence.where(F.size("keywords") > 0)
+    # Each text is read once for all keywords.
+    inside = T.let(T.tokens("text"), lambda t: F.filter("keywords", lambda w: F.array_contains(t, w))) if whole_words else T.let(T.fold("text"), lambda t: F.filter("keywords", lambda w: F.contains(t, w)))
+    found = asked.select(key, F.size("keywords").alias("n"), inside.alias("found")).select(key, "n", F.explode_outer("found").alias("w"))
+    return found.groupBy(key).agg((F.countDistinct("w") / F.max("n")).alias("coverage"))
 
 
 def volume(n: Column, enough: float = 3.0) -> Column:

@@ -654,7 +654,8 @@ def _rank_sql(score: str, where: str = "true", k: int = 30) -> str:
 def _rank(spark: SparkSession, sf_dir: str, score, k: int = 30) -> DataFrame:
     s = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.sentences("text")).alias("sent_ord", "seg")).withColumn("tokens", T.tokens("seg"))
     out = s.select("doc_id", "sent_ord", F.round(score(F.col("seg"), F.col("tokens"), T.words_of(_KWS), F.lit(_ENT)), 6).alias("score"))
-    return out.where("score > 0").orderBy(F.desc("score"), "doc_id", "sent_ord").limit(k)
+    # The best first, what is not over 0 goes then: a filter before would make each score twice.
+    return out.orderBy(F.desc("score"), "doc_id", "sent_ord").limit(k).where("score > 0")
 
 
 _STEMS = "list_sum(list_transform([('the', 'the'), ('erea', 'erea')], lambda k: CASE WHEN list_contains(w, k[1]) THEN 2.0 WHEN contains(low, k[2]) THEN 1.5 ELSE 0 END))"
@@ -733,8 +734,7 @@ def _claimed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _claimed(spark, sf_dir).select("need_id", F.struct("ev_ord", "doc_id", "type", "words", "negations").alias("c"))
-    met = s.select("need_id", F.col("c").alias("a")).join(s.select("need_id", F.col("c").alias("b")), "need_id").where("a.ev_ord < b.ev_ord")
+    met = evidence.met_pairs(_claimed(spark, sf_dir))
     return met.select("need_id", F.col("a.ev_ord").alias("i"), F.col("b.ev_ord").alias("j"), F.round(evidence.agreement(), 6).alias("agreement"), evidence.contradiction(opposites=_OPP).alias("contradicts"))
 
 

@@ -4,8 +4,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from querylark.functions import text as T
-from querylark.operators import boolean, ranking, vectors
-from querylark.plans import pipeline
+from querylark.operators import boolean, evidence, ranking, vectors
+from querylark.plans import pipeline, registry
 from querylark.operators import index as ix
 
 
@@ -189,3 +189,36 @@ def test_ask_pipeline_searches_once_for_evidence(spark):
 
     got = pipeline.ask(i, q, by=Retriever("one", search)).collect()
     assert [r.sources for r in got if not r.is_support] == [[1]] and seen_by.value == 1
+
+
+def _docs(spark, path, n=40):
+    rows = [(k, f"The ering of the number {k} is a thing und it is of the text. Wher it goes no one is.", "en") for k in range(n)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{path}/documents.parquet")
+    return str(path)
+
+
+def test_confidence_basic_reads_each_text_once_for_all_keywords(spark, tmp_path):
+    text = plan(registry.QUERIES["confidence_basic"](spark, _docs(spark, tmp_path)))
+    optimized = text[text.index("Optimized Logical Plan") : text.index("Physical Plan ==")]
+    assert optimized.count("regexp_extract_all") == 1
+    e = spark.createDataFrame([(1, "a b", ["a", "a", "z"]), (1, "c", ["a", "a", "z"]), (2, "q", ["a"]), (3, "q", []), (4, None, ["a"])], "need_id long, text string, keywords array<string>")
+    for whole in (True, False):
+        assert {r.need_id: round(r.coverage, 6) for r in evidence.coverage(e, whole_words=whole).collect()} == {1: 0.333333, 2: 0.0, 4: 0.0}
+
+
+def test_confidence_refined_joins_no_texts_for_pairs(spark, tmp_path):
+    claimed = evidence.claims(registry._evidence(spark, _docs(spark, tmp_path)))
+    assert "Join" not in plan(evidence.pairs(claimed)) and evidence.pairs(claimed).count() == 2 * 105 + 45
+
+
+def test_definition_rank_makes_each_score_once(spark, tmp_path):
+    text = plan(registry.QUERIES["definition_rank"](spark, _docs(spark, tmp_path)))
+    optimized = text[text.index("Optimized Logical Plan") : text.index("Physical Plan ==")]
+    assert not [x for x in optimized.splitlines() if "Filter" in x and "regexp_extract_all" in x]
+
+
+def test_chunk_topk_shuffles_no_texts(spark, tmp_path):
+    text = plan(registry.QUERIES["chunk_topk"](spark, _docs(spark, tmp_path)))
+    optimized = text[text.index("Optimized Logical Plan") : text.index("Physical Plan ==")]
+    below = optimized[optimized.index("Window ") :]
+    assert "rlike" not in optimized[: optimized.index("Window ")].lower() and "rlike" in below.lower()
